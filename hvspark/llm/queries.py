@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from hvspark.llm import language
+from hvspark.llm import language, lines
 
-_MODULES = (language,)
+_MODULES = (language, lines)
 
 
 def queries() -> dict:
