@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from hvspark.llm import language, lines
+from hvspark.llm import jaccard, language, lines
 
-_MODULES = (language, lines)
+_MODULES = (language, jaccard, lines)
 
 
 def queries() -> dict:
