@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from hvspark.llm import decontaminate, jaccard, language, lines
+from hvspark.llm import bpe, decontaminate, jaccard, language, lines
 
-_MODULES = (decontaminate, language, jaccard, lines)
+_MODULES = (decontaminate, language, jaccard, bpe, lines)
 
 
 def queries() -> dict:
