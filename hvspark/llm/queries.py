@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from hvspark.llm import bpe, decontaminate, jaccard, language, lines
+from hvspark.llm import bpe, chat, decontaminate, jaccard, language, lines, urls
 
-_MODULES = (decontaminate, language, jaccard, bpe, lines)
+_MODULES = (decontaminate, language, chat, jaccard, bpe, urls, lines)
 
 
 def queries() -> dict:
