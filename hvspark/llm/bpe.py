@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from hvspark.llm.frames import load
 
@@ -196,7 +197,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "_ids"])
 
     spaced = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = spaced.schema.add("_ids", "array<int>")
+    schema = spaced.schema.add("_ids", ArrayType(IntegerType()))
     return spaced.mapInArrow(run, schema).toDF(*docs.columns, "_ids")
 
 
