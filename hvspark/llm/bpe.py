@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from hvspark.llm.frames import load
 
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "_ids"])
 
     spaced = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = spaced.schema.add("_ids", ArrayType(IntegerType()))
+    schema = StructType([*spaced.schema.fields, StructField("_ids", ArrayType(IntegerType()))])
     return spaced.mapInArrow(run, schema).toDF(*docs.columns, "_ids")
 
 
@@ -218,7 +218,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*b.schema.names, "_text"])
 
     spaced = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
-    schema = spaced.schema.add("_text", "string")
+    schema = StructType([*spaced.schema.fields, StructField("_text", StringType())])
     return spaced.mapInArrow(run, schema).toDF(*rows.columns, "_text")
 
 
