@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from hvspark.llm import bpe, chat, decontaminate, jaccard, language, lines, urls
+from hvspark.llm import bpe, chat, decontaminate, jaccard, language, licences, lines, urls
 
-_MODULES = (decontaminate, language, chat, jaccard, bpe, urls, lines)
+_MODULES = (decontaminate, language, chat, jaccard, bpe, urls, lines, licences)
 
 
 def queries() -> dict:
