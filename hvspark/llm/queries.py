@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from hvspark.llm import bpe, chat, decontaminate, jaccard, language, licences, lines, quality, urls
+from hvspark.llm import bpe, chat, decontaminate, jaccard, language, licences, lines, neighbours, quality, urls
 
-_MODULES = (decontaminate, language, chat, jaccard, bpe, quality, urls, lines, licences)
+_MODULES = (decontaminate, language, chat, jaccard, bpe, quality, urls, neighbours, lines, licences)
 
 
 def queries() -> dict:
