@@ -25,14 +25,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from hvspark.llm.frames import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  #: default for ``path``
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO, MEMO_PIECE = 600_000, 64  #: pieces remembered, and the most characters of one that is
-FITS = 2_000_000  #: pairs of tokens remembered
+MEMO, MEMO_PIECE = 400_000, 64  #: pieces remembered, and the most characters of one that is
+FITS = 400_000  #: pairs of tokens remembered
+SLICE = 512  #: rows handed on at a time
 
 
 def _latin_pattern() -> re.Pattern:
@@ -178,27 +179,36 @@ def _share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast({"id": hash(frozenset(ranks.items())), "ranks": ranks})
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """docs, all columns as they are, and ``_ids`` array<int>, null for a null text and empty for an empty one."""
+def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = False) -> DataFrame:
+    """docs, all columns as they are, and ``_ids`` array<int>, null for a null text and empty for an empty one.
+
+    verify: decode the ids, too, and add ``_exact``: whether that gives the text; null for a null text.
+    """
     shared = _share(docs.sparkSession, path)
     at = docs.columns.index("text")
 
     def run(batches):
         coder = _coder(shared)
-        for b in batches:
-            parts, ends, null = [], [0], []
-            for x in b.column(at):
-                x = x.as_py()
-                null.append(x is None)
-                parts.append(coder.encode(x) if x else b"")
-                ends.append(ends[-1] + len(parts[-1]) // 4)
-            ids = pa.array(np.frombuffer(b"".join(parts), np.uint32).view(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids, mask=pa.array(null, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "_ids"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                parts, ends, null, exact = [], [0], [], []
+                for x in b.column(at):
+                    x = x.as_py()
+                    null.append(x is None)
+                    ids = coder.encode(x) if x else b""
+                    parts.append(ids)
+                    ends.append(ends[-1] + len(ids) // 4)
+                    if verify:
+                        exact.append(None if x is None else coder.decode(np.frombuffer(ids, np.uint32).tolist()) == x.encode())
+                flat = pa.array(np.frombuffer(b"".join(parts), np.uint32).view(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
+                more = [lists, pa.array(exact, pa.bool_())] if verify else [lists]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_ids", "_exact"][: len(b.columns) + len(more)])
 
     spaced = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = StructType([*spaced.schema.fields, StructField("_ids", ArrayType(IntegerType()))])
-    return spaced.mapInArrow(run, schema).toDF(*docs.columns, "_ids")
+    more = [StructField("_ids", ArrayType(IntegerType())), StructField("_exact", BooleanType())][: 1 + verify]
+    return spaced.mapInArrow(run, StructType([*spaced.schema.fields, *more])).toDF(*docs.columns, *[f.name for f in more])
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -210,12 +220,12 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     at = rows.columns.index("_ids")
 
     def run(batches):
-        coder = _coder(shared)
-        for b in batches:
-            lists = b.column(at)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy().tolist()
-            text = [coder.decode(flat[i:j]).decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*b.schema.names, "_text"])
+        tokens = {i: b for b, i in shared.value["ranks"].items()}
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                text = [None if x is None else b"".join(map(tokens.__getitem__, x)).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "_text"])
 
     spaced = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
     schema = StructType([*spaced.schema.fields, StructField("_text", StringType())])
@@ -224,9 +234,8 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, round_trip, ids): each document encoded, and decoded again for comparison."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs))
-    return rows.select("doc_id", F.when(F.col("_ids").isNotNull(), F.size("_ids")).alias("n_tokens"), F.col("text").eqNullSafe(F.col("_text")).alias("round_trip"), F.col("_ids").alias("ids"))
+    rows = encode(load(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return rows.select("doc_id", F.when(F.col("_ids").isNotNull(), F.size("_ids")).alias("n_tokens"), F.col("_exact").alias("round_trip"), F.col("_ids").alias("ids"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
