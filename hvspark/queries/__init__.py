@@ -1,8 +1,8 @@
 """All queries on the tables and, where SQL can express them, their SQL."""
 
-from hvspark.queries import vectors
+from hvspark.queries import knowledge, vectors
 
-_MODULES = (vectors,)
+_MODULES = (vectors, knowledge)
 
 
 def queries() -> dict:
