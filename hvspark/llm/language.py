@@ -26,12 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hvspark.llm.frames import load
-from hvspark.llm.tokens import fold, utf8
+from hvspark.llm.tokens import blocks, fold, utf8
 
 SAMPLE_BYTES = 24_000  #: bound on the labelled text per language, in normalised bytes
 MAX_BITS = 4.5  #: a document that needs more bits than these for each byte in every language is in none of them
 LEEWAY = 32  #: bytes that are added to each document's size for that, as short ones say little
 SEGMENT, WARM_UP = 2048, 128
+BLOCK = 4 << 20  #: bytes parsed at a time
 STARTS = np.uint32(1 << 31)
 _LETTER = np.zeros(256, np.bool_)
 _LETTER[128:] = True
@@ -184,8 +185,13 @@ def labelled_texts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[st
 
 def scores(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language or und, bits per byte or NaN, phrases) of each text."""
-    data, at = utf8(column)
-    data, at = normalise(data[at[0] : at[-1]], at - at[0])
+    parts = [_scores(model, data, at) for _, _, data, at in blocks(column, BLOCK)]
+    none = np.empty(0)
+    return [x for p in parts for x in p[0]], np.concatenate([*(p[1] for p in parts), none]), np.concatenate([*(p[2] for p in parts), none.astype(np.int64)])
+
+
+def _scores(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    data, at = normalise(data, at)
     n = phrases(model, data, at)
     size = np.diff(at)
     if not model.languages:
