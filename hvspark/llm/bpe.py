@@ -179,11 +179,13 @@ def _share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast({"id": hash(frozenset(ranks.items())), "ranks": ranks})
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = False) -> DataFrame:
-    """docs, all columns as they are, and ``_ids`` array<int>, null for a null text and empty for an empty one.
+def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = False, name: str = "_ids") -> DataFrame:
+    """docs, all columns as they are, and ``name`` array<int>, null for a null text and empty for an empty one.
 
     verify: decode the ids, too, and add ``_exact``: whether that gives the text; null for a null text.
+    Both replace columns of their names. Rows that repeat give rows that repeat.
     """
+    docs = docs.drop(name, *(["_exact"] if verify else []))
     shared = _share(docs.sparkSession, path)
     at = docs.columns.index("text")
 
@@ -204,11 +206,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = False) -> Dat
                 flat = pa.array(np.frombuffer(b"".join(parts), np.uint32).view(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
                 more = [lists, pa.array(exact, pa.bool_())] if verify else [lists]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_ids", "_exact"][: len(b.columns) + len(more)])
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "ids", "exact"][: len(b.columns) + len(more)])
 
     spaced = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    more = [StructField("_ids", ArrayType(IntegerType())), StructField("_exact", BooleanType())][: 1 + verify]
-    return spaced.mapInArrow(run, StructType([*spaced.schema.fields, *more])).toDF(*docs.columns, *[f.name for f in more])
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())][: 1 + verify]
+    return spaced.mapInArrow(run, StructType([*spaced.schema.fields, *more])).toDF(*docs.columns, name, *["_exact"][: int(verify)])
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -216,6 +218,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     An id that the vocabulary lacks, or a null among the ids, is an error.
     """
+    rows = rows.drop("_text")
     shared = _share(rows.sparkSession, path)
     at = rows.columns.index("_ids")
 
@@ -240,8 +243,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their tokens: the columns of docs, and ``ids`` and ``n_tokens``, which replace such columns."""
-    rows = encode(docs.drop("ids", "n_tokens"))
-    return rows.withColumn("n_tokens", F.when(F.col("_ids").isNotNull(), F.size("_ids"))).withColumnRenamed("_ids", "ids")
+    rows = encode(docs.drop("n_tokens"), name="ids")
+    return rows.withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.size("ids")))
 
 
 QUERIES = {"op5_byte_bpe": op5_byte_bpe}
