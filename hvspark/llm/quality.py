@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hvspark.llm.frames import bytes_estimate, checkpointed, load
+from hvspark.llm.frames import checkpointed, load, parts_of
 from hvspark.llm.tokens import blocks
 
 ORDER = 5  #: bytes; at most 7, so that an n-gram fits into 64 bits
@@ -43,7 +43,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = data.astype(np.uint64)
     for k in range(1, ORDER):
         before = np.zeros(n, np.uint64)
-        before[k:] = data[: n - k]
+        before[k:] = data[: max(0, n - k)]
         before[inside < k] = 0
         out |= before << np.uint64(8 * k)
     return out
@@ -175,7 +175,7 @@ def _score(docs: pa.Table, said: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, bytes, bits) for each row of docs; null and empty texts have 0 of both."""
-    n = max(1, -(-bytes_estimate(docs) // BLOCK_BYTES))
+    n = parts_of(docs, BLOCK_BYTES)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     dealt = docs.select(block.alias("block"), "text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang").repartition("block")
     wanted = dealt.mapInArrow(_wanted_of, f"block int, {_GRAMS}")
