@@ -1,8 +1,8 @@
 """All queries on the tables and, where SQL can express them, their SQL."""
 
-from hvspark.queries import knowledge, vectors
+from hvspark.queries import knowledge, operations, vectors
 
-_MODULES = (vectors, knowledge)
+_MODULES = (vectors, knowledge, operations)
 
 
 def queries() -> dict:
