@@ -1,11 +1,9 @@
-"""Shared helpers: reading tables, the shared checkpoint folder, and Arrow maps over text columns."""
+"""Shared helpers: reading tables, the shared checkpoint folder, row keys, and broadcasts behind a check of size."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +30,29 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column), F.col(text_column))
 
 
-def bytes_estimate(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def parts_of(df: DataFrame, each: int) -> int:
+    """How many parts of about so many bytes df has, by Catalyst's estimate, without running it.
 
+    Where that knows no size, as of rows that don't come from files, it is the number of shuffle partitions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 56:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // each))
+
+
+BROADCAST_BYTES = 64 << 20  #: of rows, up to which a counted table is sent to every task
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """f applied to each Arrow batch of df; None stands for no rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, computed and counted, and marked for broadcast if its rows of about so many bytes fit the limit.
+
+    Beyond it the join shuffles both sides.
+    """
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
 
-    return df.mapInArrow(run, schema)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, key): each row as a struct, so that no column of it can clash with those of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key("doc_id", "text").alias("key"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hvspark.llm.frames import checkpointed, load, row_key
+from hvspark.llm.frames import broadcast_if_small, checkpointed, keyed, load, row_key
 from hvspark.llm.tokens import BASE, Tokens, blocks, mix, tokenize, window_hashes
 
 N = 3
@@ -264,7 +264,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance
     )
     wanted = ranked.where("key = rep_key and doc_id <=> rep_doc").select("s1", "key").distinct().join(met, "s1").select(F.col("key").alias("_key"), F.col("s1").alias("class"), "leaders")
     texts = docs.select(F.col("doc_id").cast("bigint"), row_key("doc_id", "text").alias("_key"), "text")
-    found = texts.join(wanted, "_key").select("doc_id", "class", "leaders", "text")
+    found = texts.join(broadcast_if_small(wanted, 160), "_key").select("doc_id", "class", "leaders", "text")
     sent = found.mapInArrow(_sets(n), "leader bigint, leaders array<bigint>, doc_id bigint, class bigint, values binary, set binary")
     schema = "doc_a bigint, class_a bigint, doc_b bigint, class_b bigint, jaccard double"
     pairs = sent.repartition("leader").sortWithinPartitions("leader", "class").mapInArrow(_verify(threshold, tolerance, spanning), schema)
@@ -311,17 +311,23 @@ def components(edges: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """docs without all but the first, by doc_id, of each group that chains of similar pairs connect.
 
-    Rows that repeat id and text become one; null, empty and wordless texts stay otherwise.
+    Rows that repeat id and text become one. Null, empty and wordless texts all stay. A null doc_id
+    counts as the least. Other columns stay as they are, whatever their names.
     """
     pairs, copies = similar(docs, n, threshold, tolerance, spanning=True)
     copies = checkpointed(copies)
     first = copies.where("key = rep_key and doc_id <=> rep_doc").select("s1", F.struct(F.coalesce("rep_doc", F.lit(-(1 << 63))).alias("d"), F.col("rep_key").alias("k")).alias("node")).distinct()
     edges = pairs.select("class_a", "class_b").join(first.withColumnsRenamed({"s1": "class_a", "node": "u"}), "class_a").join(first.withColumnsRenamed({"s1": "class_b", "node": "v"}), "class_b").select("u", "v")
-    later = components(edges).select(F.col("node.k").alias("_key"))
-    twins = copies.where("not (key = rep_key and doc_id <=> rep_doc)").select(F.col("key").alias("_key"))
+    later = components(edges).select(F.col("node.k").alias("key"))
+    twins = copies.where("not (key = rep_key and doc_id <=> rep_doc)").select("key")
     gone = later.unionByName(twins).distinct()
-    rows = docs.withColumn("_key", row_key("doc_id", "text")).join(gone, "_key", "left_anti")
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy("_key"))).where("_nth = 1").select(*docs.columns)
+    repeated = checkpointed(copies.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    rows = keyed(docs).join(broadcast_if_small(gone, 16), "key", "left_anti")
+    if repeated.isEmpty():
+        return rows.select("row.*")
+    again = broadcast_if_small(repeated, 16)
+    one = rows.join(again, "key").withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).where("nth = 1")
+    return rows.join(again, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
