@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hvspark.llm.frames import checkpointed, load, row_key
+from hvspark.llm.frames import broadcast_if_small, checkpointed, keyed, load, row_key
 from hvspark.llm.tokens import BASE, Tokens, blocks, hash_words, mix, tokenize, window_hashes
 
 WINDOW = 8
@@ -214,8 +214,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, to which no item is leaked."""
-    bad = leaks(docs, benchmark).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(bad, "_key", "left_anti").select(*docs.columns)
+    bad = leaks(docs, benchmark).select("key").distinct()
+    return keyed(docs).join(broadcast_if_small(bad, 16), "key", "left_anti").select("row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

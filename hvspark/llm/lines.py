@@ -28,9 +28,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hvspark.llm.cuckoo import CuckooFilter, Full
-from hvspark.llm.frames import bytes_estimate, load, row_key
+from hvspark.llm.frames import keyed, load, parts_of, row_key
 
-SHARD_BYTES = 64 << 20  #: of documents a shard, where the number of shards isn't given
+SHARD_BYTES = 16 << 20  #: of documents a shard, where the number of shards isn't given
 LINE = ["shard", "h1", "h2"]
 _OWNER = "struct<batch:int,doc_id:bigint,key:bigint,pos:int>"
 _REFS = f"shard int, h1 bigint, h2 bigint, refs bigint, owner {_OWNER}"
@@ -100,7 +100,7 @@ class LineStore:
             import tempfile
 
             root = tempfile.mkdtemp(prefix="lines")
-        return cls(spark, f"{root}/lines-{uuid.uuid4().hex}", shards or max(4, bytes_estimate(docs) // SHARD_BYTES))
+        return cls(spark, f"{root}/lines-{uuid.uuid4().hex}", shards or parts_of(docs, SHARD_BYTES))
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self._at[name]) if name in self._at else self.spark.createDataFrame([], schema)
@@ -180,17 +180,18 @@ class LineStore:
 
         Blank lines stay where they are. A document all of whose lines went is gone, a null
         text or one of blank lines stays, and rows that repeat id and text become one.
-        Two columns more: ``_lines``, the lines that aren't blank, and ``_kept``.
+        Two columns more, which replace such columns: ``_lines``, the lines that aren't blank, and ``_kept``.
         """
-        parts = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), (F.trim(x) == "").alias("blank"), F.array_contains(F.coalesce("_own", F.array().cast("array<int>")), i).alias("mine"))), lambda x: x.blank | x.mine)
-        nth = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
-        size = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")), F.lit(0))
-        keep = F.coalesce(F.size("_own"), F.lit(0))
-        own = self.kept().select(F.col("key").alias("_key"), F.col("keep").alias("_own"))
-        rows = docs.withColumn("_key", row_key("doc_id", "text")).join(own, "_key", "left").withColumn("_nth", nth).where("_nth = 1")
-        rows = rows.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(size)).withColumn("_kept", F.when(F.col("_own").isNull(), 0).otherwise(keep)).where("_kept > 0 or _lines = 0")
-        text = F.when(F.col("_kept") == F.col("_lines"), F.col("text")).otherwise(F.array_join(F.transform(parts, lambda x: x.line), "\n"))
-        return rows.withColumn("text", text).select(*[c for c in docs.columns], "_lines", "_kept")
+        lines = F.split("row.text", "\n")
+        mine = F.coalesce("own", F.array().cast("array<int>"))
+        parts = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), ((F.trim(x) == "") | F.array_contains(mine, i)).alias("stays"))), lambda x: x.stays)
+        nth = F.row_number().over(W.partitionBy("key").orderBy("key"))
+        rows = keyed(docs).join(self.kept().withColumnRenamed("keep", "own"), "key", "left").withColumn("nth", nth).where("nth = 1")
+        total = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.trim(x) != "")))
+        rows = rows.withColumn("total", total).withColumn("held", F.size(mine)).where("held > 0 or total = 0")
+        text = F.when(F.col("held") == F.col("total"), F.col("row.text")).otherwise(F.array_join(F.transform(parts, lambda x: x.line), "\n"))
+        kept = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("_lines", "_kept")]
+        return rows.select(*kept, F.col("total").alias("_lines"), F.col("held").alias("_kept"))
 
 
 def dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
@@ -206,8 +207,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each line only where it comes first."""
-    return dedup(docs).drop("_lines", "_kept")
+    """Documents with each line only where it comes first; n_chars follows the text."""
+    rows = dedup(docs)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("_kept") < F.col("_lines"), F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}
