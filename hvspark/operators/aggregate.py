@@ -55,11 +55,11 @@ def prototype(df: DataFrame, keys: list[str], dim: int) -> DataFrame:
     return _collected(counts.withColumn("_r", rank).where(F.col("_r") <= active(dim)), keys, groups)
 
 
-def weighted_bundle(df: DataFrame, keys: list[str], dim: int, weight: str = "weight") -> DataFrame:
-    """(keys, hv): the indices of greatest total weight, the lesser first among equals."""
+def weighted_bundle(df: DataFrame, keys: list[str], dim: int, weight: str = "weight", k: int | None = None) -> DataFrame:
+    """(keys, hv): the k indices of greatest total weight, active(dim) of them if k isn't given; the lesser first among equals."""
     sums = df.select(*keys, weight, F.explode("hv").alias("idx")).groupBy(*keys, "idx").agg(F.sum(weight).alias("w"))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("w"), "idx"))
-    return sums.withColumn("_r", rank).where(F.col("_r") <= active(dim)).groupBy(*keys).agg(F.array_sort(F.collect_list("idx")).alias("hv"))
+    return sums.withColumn("_r", rank).where(F.col("_r") <= (k or active(dim))).groupBy(*keys).agg(F.array_sort(F.collect_list("idx")).alias("hv"))
 
 
 def idf(vectors: DataFrame, dim: int, clip: float = 3.0) -> DataFrame:

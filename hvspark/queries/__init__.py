@@ -1,8 +1,8 @@
 """All queries on the tables and, where SQL can express them, their SQL."""
 
-from hvspark.queries import knowledge, operations, vectors
+from hvspark.queries import encoding, knowledge, operations, vectors
 
-_MODULES = (vectors, knowledge, operations)
+_MODULES = (vectors, knowledge, operations, encoding)
 
 
 def queries() -> dict:
