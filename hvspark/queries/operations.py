@@ -66,6 +66,36 @@ def spread_unions(spark, sf_dir):
     return folds.spread(order_items(spark, sf_dir), "customer", 3).select("customer", F.col("bundle").cast("int").alias("bundle"), "members", F.array_join("hv", ",").alias("hv"))
 
 
+def cascaded_unions(spark, sf_dir):
+    return folds.cascade(order_items(spark, sf_dir), "customer", 4).select("customer", "bundle", "members", F.array_join("hv", ",").alias("hv"))
+
+
+def tiered_unions(spark, sf_dir):
+    return folds.tiered(order_items(spark, sf_dir), "customer", 2).select("customer", "tier", F.array_join("hv", ",").alias("hv"))
+
+
+def reservoir_sample(spark, sf_dir):
+    return folds.reservoir(order_items(spark, sf_dir), "customer", 3).groupBy("customer").agg(F.count("*").alias("n"))
+
+
+def count_read_outs(spark, sf_dir):
+    b = baskets(spark, sf_dir)
+    r = folds.read_outs(b, b)
+    return r.select("id", "total", *[F.round(c, 6).alias(c) for c in ("logged", "cosine", "rare")])
+
+
+def phase_store(spark, sf_dir):
+    """How well each nation's place is held by the store of all of them, by phases."""
+    c = load(spark, sf_dir, "nation")
+    phases = lambda k: F.transform(F.sequence(F.lit(1), F.lit(32)), lambda d: F.pmod(F.xxhash64(k, d), F.lit(16)).cast("int"))
+    t = c.select(F.col("n_name").alias("s"), F.lit("in").alias("r"), F.concat(F.lit("r"), "n_regionkey").alias("o"))
+    names = t.select(F.explode(F.array("s", "r", "o")).alias("id")).distinct().withColumn("phases", phases("id"))
+    trace = S.phase_trace(t, names, 16)
+    p = {x: names.select(F.col("id").alias(x), F.col("phases").alias(f"_{x}")) for x in "sro"}
+    asked = t.join(p["s"], "s").join(p["r"], "r").join(p["o"], "o").select(F.col("s").alias("query_id"), S.phase_bind(S.phase_bind(F.col("_s"), F.col("_r"), 16), F.col("_o"), 16).alias("phases"))
+    return S.phase_score(asked, trace, 16, 32)
+
+
 def plastic_scores(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     rows = e.select("user_id", F.col("event_id").alias("seq"), F.expr(_OPS).alias("op"), F.concat(F.lit("u"), "user_id").alias("s"), F.lit("did").alias("r"), F.col("event_type").alias("o"))
@@ -167,7 +197,7 @@ def separation_auc(spark, sf_dir):
     return A.auc(d.select(F.col("n_chars"), (F.col("quality") == 1).alias("good")), "n_chars", "good").select(F.round("auc", 9).alias("auc"))
 
 
-QUERIES = {f.__name__: f for f in (latest_wins, audit_since, federated_orders, windowed_events, session_events, sliding_unions, decayed_counts, spread_unions, plastic_scores, two_stores, text_readability, text_metrics, facts_of_text, chain_of_events, merkle_roots, merkle_root, revoked_ids, block_codes, block_bundles, phase_similarity, phase_bundles, ternary_vectors, ternary_bundles, separation_auc)}
+QUERIES = {f.__name__: f for f in (latest_wins, audit_since, federated_orders, windowed_events, session_events, sliding_unions, decayed_counts, spread_unions, cascaded_unions, tiered_unions, reservoir_sample, count_read_outs, phase_store, plastic_scores, two_stores, text_readability, text_metrics, facts_of_text, chain_of_events, merkle_roots, merkle_root, revoked_ids, block_codes, block_bundles, phase_similarity, phase_bundles, ternary_vectors, ternary_bundles, separation_auc)}
 _E = r" \t\n\r.!?,;:()\[\]{}\"''\-"
 _L = r"A-Za-z\x{80}-\x{10FFFF}"
 _CODES = "codes as (select o_orderkey as id, o_custkey as customer, list_transform(range(1, 9), lambda b: (o_orderkey * b + o_custkey) % 16) as code from orders), pairs as (select id, code as a, lag(code) over (partition by customer order by id) as b from codes qualify b is not null)"
@@ -186,6 +216,13 @@ ORACLES = {
     "decayed_counts": f"with {_ITEMS}, l as (select customer, max(id) as last from items group by 1) select customer, idx, round(sum(pow(0.5, floor((last - id) / 4000))), 9) as weight from items join l using (customer) group by 1, 2",
     "spread_unions": f"""with {_ITEMS}, n as (select customer, id, cast((row_number() over (partition by customer order by id) - 1) % 3 as integer) as bundle from (select distinct customer, id from items))
         select n.customer, bundle, count(distinct n.id) as members, string_agg(distinct idx, ',' order by idx) as hv from n join items using (id) group by 1, 2""",
+    "cascaded_unions": f"""with {_ITEMS}, n as (select customer, id, cast((row_number() over (partition by customer order by id) - 1) // 4 as integer) as bundle from (select distinct customer, id from items))
+        select n.customer, bundle, count(distinct n.id) as members, string_agg(distinct idx, ',' order by idx) as hv from n join items using (id) group by 1, 2""",
+    "tiered_unions": f"""with {_ITEMS}, n as (select customer, id, case when row_number() over (partition by customer order by id desc) <= 2 then 1 else 2 end as tier from (select distinct customer, id from items))
+        select n.customer, tier, string_agg(distinct idx, ',' order by idx) as hv from n join items using (id) group by 1, 2""",
+    "reservoir_sample": f"with {_ITEMS} select customer, least(count(distinct id), 3) as n from items group by 1",
+    "count_read_outs": f"""with {_ITEMS}, c as (select idx, count(*) as n from items group by 1), w as (select sqrt(sum(n * n)) as norm, (select count(*) from baskets) as stored from c)
+        select id, sum(n) as total, round(sum(ln(1 + n)), 6) as logged, round(sum(n) / (sqrt(count(*)) * any_value(norm)), 6) as cosine, round(sum(ln(1 + stored / n)), 6) as rare from items join c using (idx), w group by 1""",
     "text_readability": f"""with d as (select doc_id, text, regexp_replace(text, '(^|[{_E}])([^{_E}{_L}]*)[yY]', '\\1\\2b', 'g') as plain from documents where text is not null),
         m as (select doc_id, cast(len(regexp_extract_all(text, '[^{_E}{_L}]*[{_L}][^{_E}]*')) as integer) as words, cast(len(regexp_extract_all(text, '[.!?]')) as integer) as sentences,
           cast(len(regexp_extract_all(plain, '[aeiouyAEIOUY]+')) as integer) as syllables, cast(len(regexp_extract_all(plain, '[aeiouyAEIOUY]')) as integer) as vowels,

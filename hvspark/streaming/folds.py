@@ -162,3 +162,42 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type"
 
 def sessions(events: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def reservoir(items: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """A uniform sample of so many items of each key, by the order of a seeded hash, so that a run repeats."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, "seq"), "seq"))
+    return items.withColumn("_n", rank).where(F.col("_n") <= size).drop("_n")
+
+
+def tiered(items: DataFrame, key: str, recent: int) -> DataFrame:
+    """(key, tier, hv): the union of a key's last items, tier 1, and of those before, tier 2, whose score counts half."""
+    from hvspark.operators.aggregate import union
+
+    age = F.row_number().over(W.partitionBy(key).orderBy(F.desc("seq")))
+    return union(items.withColumn("tier", F.when(age <= recent, 1).otherwise(2)), [key, "tier"]).drop("members")
+
+
+def cascade(items: DataFrame, key: str, capacity: int) -> DataFrame:
+    """(key, bundle, members, hv): a new union after every so many items."""
+    from hvspark.operators.aggregate import union
+
+    nth = F.row_number().over(W.partitionBy(key).orderBy("seq")) - 1
+    return union(items.withColumn("bundle", F.floor(nth / capacity).cast("int")), [key, "bundle"])
+
+
+def read_outs(stored: DataFrame, probes: DataFrame) -> DataFrame:
+    """(id, total, logged, cosine, rare): other ways to read counts at a probe's indices.
+
+    Their sum, the sum of ln(1 + n), the cosine between the probe and the counts, and the sum of
+    ln(1 + N / n) with N vectors stored.
+    """
+    counts = stored.select(F.explode("hv").alias("idx")).groupBy("idx").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")).crossJoin(stored.agg(F.count("*").alias("stored")))
+    hits = probes.select("id", F.size("hv").alias("k"), F.explode("hv").alias("idx")).join(counts, "idx").crossJoin(F.broadcast(whole))
+    return hits.groupBy("id").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.log1p("n")).alias("logged"),
+        (F.sum("n") / (F.sqrt(F.max("k")) * F.max("norm"))).alias("cosine"),
+        F.sum(F.log1p(F.col("stored") / F.col("n"))).alias("rare"),
+    )

@@ -207,6 +207,43 @@ def test_concepts_and_lists(spark):
     assert len(exact & found) > 0.9 * len(exact)
 
 
+def test_codes_and_walks(spark):
+    from hvspark.operators import quantise as Q
+
+    rng = np.random.default_rng(4)
+    base = H.seeded(np.arange(20, dtype=np.uint64), 4096)
+    rows = [(i, sorted({*rng.choice(base[i % 20], 13, False).tolist(), *rng.integers(0, 4096, 3).tolist()})) for i in range(120)]
+    v = spark.createDataFrame(rows, "id long, hv array<int>")
+    q = v.where("id < 20").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in R.top_k(q, v, 3).collect()}
+    book = Q.train_codes(v, 4096, 16, 32)
+    found = Q.search_codes(q, Q.encode_codes(v, book, 4096), book, 4096, 6).collect()
+    assert len({(r.query_id, r.id) for r in found} & exact) > 0.6 * len(exact)
+    graph_ = Q.neighbour_graph(v, 8)
+    for shards in (1, 3):
+        walked = {(r.query_id, r.id) for r in Q.walk(q, graph_, 3, 32, shards).collect()}
+        assert len(walked & exact) > 0.9 * len(exact)
+
+
+def test_analogies(spark):
+    from hvspark.operators import cognition as C
+
+    rows = [(f"{s}{a}", r, f"{s}{b}") for s in "xy" for a, r, b in ((1, "orbits", 0), (2, "orbits", 0), (0, "heats", 1), (0, "heats", 2))] + [("p", "likes", "q")]
+    got = C.analogies(spark.createDataFrame(rows, "s string, r string, o string")).collect()
+    assert [(r.root_a, r.root_b, r.mapped, r.score, r.edges) for r in got] == [("x0", "y0", 3, 1.0, 1.0)]
+
+
+def test_upkeep(spark):
+    from hvspark.operators import cognition as C
+
+    c = spark.createDataFrame([(i, f"c{i}", x) for i, x in enumerate(([1, 2, 3], [1, 2, 3], [7, 8], [1, 2, 3]))], "seq int, id string, hv array<int>")
+    assert sorted(r.id for r in C.duplicates(c).collect()) == ["c1", "c3"]
+    t = spark.createDataFrame([("a", f"r{i}", f"o{i}") for i in range(3)] + [("b", f"r{i}", f"o{i}") for i in range(3)] + [("c", f"r{i}", "o0") for i in range(3)], "s string, r string, o string")
+    atoms = t.select(F.explode(F.array("s", "r", "o")).alias("id")).distinct().withColumn("hv", H.atom_udf(4096)(F.col("id")))
+    assert {r.id for r in C.refine(t, atoms, 4096).collect()} == {"a", "b", "c"}
+    assert all(len(r.hv) <= 16 for r in C.refine(t, atoms, 4096).collect())
+
+
 def test_routes():
     assert [router.route(n, 64, 16384, 10).kind for n in (10, 5000, 50_000)] == ["scan", "attend", "overlap"]
     assert router.route(50_000, 600, 16384, 10, lists=True).kind == "lists"
