@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# --- ternary: array<struct<idx:int,sign:int>>, by idx ---------------------------------------------
+# --- ternary: array<struct<idx:int,sign:int>>, by idx
 
 
 def ternary(indices: Column, negative: Column) -> Column:
@@ -50,7 +50,7 @@ def ternary_bundle(df: DataFrame, key: str, t: str) -> DataFrame:
     return n.join(made, key, "left").select(key, F.coalesce(t, F.array().cast("array<struct<idx:int,sign:int>>")).alias(t))
 
 
-# --- block codes: array<int> of each block's winner -----------------------------------------------
+# --- block codes: array<int> of each block's winner
 
 
 def block_bind(a: Column, b: Column, length: int) -> Column:
@@ -84,7 +84,7 @@ def block_recover(probes: DataFrame, codebook: DataFrame) -> DataFrame:
     return scored.groupBy("query_id").agg(F.max(F.struct("similarity", "id")).alias("b")).select("query_id", "b.id", "b.similarity")
 
 
-# --- phases: array<int> modulo n ------------------------------------------------------------------
+# --- phases: array<int> modulo n
 
 
 def phase_bind(a: Column, b: Column, n: int) -> Column:

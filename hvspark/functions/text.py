@@ -89,6 +89,7 @@ AUXILIARIES = frozenset("am are been being gets got gotten had has have is was w
 DETERMINERS = frozenset("a an any each every her his its my no our some that the their these this those your".split())
 CONJUNCTIONS = frozenset("and but nor or".split())
 ADVERBS = frozenset("actually already also always carefully certainly clearly currently deeply directly easily even exactly finally generally highly however just mostly nearly never often only perhaps possibly probably quickly quite rapidly really recently simply slowly sometimes still strongly suddenly truly usually very widely".split())
+COPULAS = frozenset("am are is was were".split())
 PARTICIPLES = frozenset("been done gone seen known given taken made found told left kept begun shown heard held brought written sat stood lost met led grown built sent fallen bought felt spoken spent won taught eaten drunk driven broken caught drawn flown meant thought paid run put set read".split())
 #: base forms, forms that no rule leads back to them, and forms that the rules do but which are known as verbs
 _BASES = "allow appear ask be become begin believe belong break bring build buy call carry catch cause close come connect consider contain create define describe develop do draw drink drive eat expect fall feel find fly follow get give go grow have hear help hold include involve keep kill know lead learn leave let live lose love make mean meet move need offer open own pay play produce provide put raise read remain remember represent require run say see send serve set show sit speak spend stand start stop suggest support take teach tell think try turn use want win work write".split()
@@ -178,7 +179,7 @@ def decompose(text: str | None) -> list[tuple[str, str, str]]:
                 out.append(unit)
                 continue
             for i in range(1, len(t) - 1):
-                if low[i] in ("is", "are", "was", "were", "am"):
+                if low[i] in COPULAS:
                     if lemma(low[i + 1]) and (low[i + 1].endswith(("ed", "en")) or low[i + 1] in PARTICIPLES):
                         continue
                     a, b = _noun(t[:i]), _noun(t[i + 1 :])
