@@ -52,16 +52,14 @@ def train_codes(vectors: DataFrame, dim: int, parts: int = 16, codes: int = 16,
 
 def encode_codes(vectors: DataFrame, book: dict[int, list[list[int]]], dim: int) -> DataFrame:
     """(id, codes): in each range the centre of least symmetric difference, the first among equals."""
-    parts = len(book)
 
-    @F.pandas_udf("array<int>")
-    def run(column: pd.Series) -> pd.Series:
-        out = []
-        for subs in column:
-            out.append([min(range(len(book[p])), key=lambda c, s=set(s), p=p: (len(s ^ set(book[p][c])), c)) for p, s in enumerate(subs)])
-        return pd.Series(out)
+    def run(batches):
+        for pdf in batches:
+            codes = [[min(range(len(book[p])), key=lambda c, s=set(s), p=p: (len(s ^ set(book[p][c])), c)) for p, s in enumerate(subs)] for subs in pdf["subs"]]
+            yield pd.DataFrame({"id": pdf["id"], "codes": codes})
 
-    return vectors.select("id", run(subcodes(F.col("hv"), dim, parts)).alias("codes"))
+    rows = vectors.select("id", subcodes(F.col("hv"), dim, len(book)).alias("subs"))
+    return rows.mapInPandas(run, f"id {dict(vectors.dtypes)['id']}, codes array<int>")
 
 
 def search_codes(queries: DataFrame, encoded: DataFrame, book: dict[int, list[list[int]]], dim: int, k: int) -> DataFrame:
