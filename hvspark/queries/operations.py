@@ -222,7 +222,7 @@ ORACLES = {
         select n.customer, tier, string_agg(distinct idx, ',' order by idx) as hv from n join items using (id) group by 1, 2""",
     "reservoir_sample": f"with {_ITEMS} select customer, least(count(distinct id), 3) as n from items group by 1",
     "count_read_outs": f"""with {_ITEMS}, c as (select idx, count(*) as n from items group by 1), w as (select sqrt(sum(n * n)) as norm, (select count(*) from baskets) as stored from c)
-        select id, sum(n) as total, round(sum(ln(1 + n)), 6) as logged, round(sum(n) / (sqrt(count(*)) * any_value(norm)), 6) as cosine, round(sum(ln(1 + stored / n)), 6) as rare from items join c using (idx), w group by 1""",
+        select id, cast(sum(n) as bigint) as total, round(sum(ln(1 + n)), 6) as logged, round(sum(n) / (sqrt(count(*)) * any_value(norm)), 6) as cosine, round(sum(ln(1 + stored / n)), 6) as rare from items join c using (idx), w group by 1""",
     "text_readability": f"""with d as (select doc_id, text, regexp_replace(text, '(^|[{_E}])([^{_E}{_L}]*)[yY]', '\\1\\2b', 'g') as plain from documents where text is not null),
         m as (select doc_id, cast(len(regexp_extract_all(text, '[^{_E}{_L}]*[{_L}][^{_E}]*')) as integer) as words, cast(len(regexp_extract_all(text, '[.!?]')) as integer) as sentences,
           cast(len(regexp_extract_all(plain, '[aeiouyAEIOUY]+')) as integer) as syllables, cast(len(regexp_extract_all(plain, '[aeiouyAEIOUY]')) as integer) as vowels,
