@@ -2,7 +2,8 @@
 
 The units are UTF-8 bytes, ORDER of them at most, a text preceded by zeros: so a model needs no word
 list, holds for every language, and the distinct n-grams, unlike those of words, don't outgrow the
-text. Trusted are all documents that ``labels`` gives quality 1.
+text. Trusted are all documents that ``labels`` gives quality 1, toxic or not: quality
+is what the labels say of it.
 
 Training counts the n-grams of all trusted documents, sums the counts by n-gram across the cluster,
 and joins each order's table with those of its contexts and of the next lower order.
@@ -11,8 +12,8 @@ n-gram, with the model, whose shards thus never have to be in one place, and wha
 back to the block, where its documents are scored.
 
 A text is likelier under a model that has seen it, so one in HOLD_OUT of the trusted documents, by
-a hash, sets the thresholds only. A document is kept if its perplexity is at most SLACK times the
-QUANTILE of these in its language; in a language without any, of all of them. The few bytes of a
+a hash, sets the thresholds only. A document is kept if its perplexity is at most the QUANTILE of
+these in its language; in a language without any, of all of them. The few bytes of a
 short text say little, so LEEWAY bytes at the average of these are counted with each.
 """
 
@@ -28,7 +29,6 @@ from hvspark.llm.tokens import blocks
 
 ORDER = 5  #: bytes; at most 7, so that an n-gram fits into 64 bits
 QUANTILE = 0.99
-SLACK = 1.25
 HOLD_OUT = 5
 LEEWAY = 64
 BLOCK_BYTES = 24 << 20  #: of documents, as stored, a block
@@ -203,7 +203,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     trusted = checkpointed(scored.where(held & (F.col("bytes") > 0)).join(ids, "doc_id", "left_semi"))
     mean = trusted.agg(F.sum("bits") / F.sum("bytes")).first()[0]
     own = (F.col("bits") + LEEWAY * (mean or 0.0)) / (F.col("bytes") + LEEWAY)
-    at = F.percentile_approx(own, quantile, 10_000) + float(np.log2(SLACK))
+    at = F.percentile_approx(own, quantile, 10_000)
     overall = trusted.agg(at).first()[0]
     limits = trusted.groupBy("lang").agg(at.alias("limit")).withColumnRenamed("lang", "_lang")
     rows = scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left")

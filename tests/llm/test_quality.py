@@ -80,6 +80,13 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert kept[1] > 0.98 and kept[0] < 0.2
 
 
+def test_junk_beyond_the_quantile_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = Q.classify(docs, labels).join(labels, "doc_id").where("quality = 0").agg(F.avg(F.col("keep").cast("int"))).first()
+    assert rows[0] < 0.05
+
+
 def test_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (4, 1, "x"), (None, 1, "x"), (5, 0, "x")], "doc_id long, quality int, text string")
     got = Q.classify(odd, labels).collect()
