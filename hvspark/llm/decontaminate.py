@@ -3,9 +3,15 @@
 Words are put into a template: numbers, units after a number and names become typed
 placeholders. Windows of WINDOW template words of every document are hash-joined with those of
 the benchmark's items; matches on one diagonal (position in the document less position in the
-item) make up an alignment. What stands in the placeholders must fit: an item's number or name
-has to stand for the same thing wherever it recurs, and two names may not become one. So a copied
-question is found, and one with other numbers and names, too.
+item) make up an alignment, and so do chains of matches whose diagonals differ by up to DRIFT from
+one to the next, with at most MAX_GAP words between them: words may be inserted or dropped. What
+stands in the placeholders must fit: an item's number or name has to stand for the same thing
+wherever it recurs, and two names may not become one. Windows that are equal word for word need no
+fit, and count without the others where these don't fit. So a copied question is found, and one
+with other numbers and names, too.
+
+All this is done twice: with words as units, and with each run of equal placeholders as one unit, so
+that a name or number may be longer in the document.
 
 * number: digits, with . or , between digits, and the cardinals of NUMBER_WORDS
 * unit: one of UNITS right after a number
@@ -15,7 +21,7 @@ question is found, and one with other numbers and names, too.
 Each window is hashed twice: as this template, where at least half of it are words proper, and with
 names as words, case folded, which finds copies whose case was changed. An item is leaked to a
 document if an alignment with consistent slots covers MIN_TOKENS of its words or MIN_COVERAGE of
-them. An item of fewer than WINDOW words is one window; one of fewer than LEAST words is no
+them, or of its units. An item of fewer than WINDOW words is one window; one of fewer than LEAST words is no
 evidence and is left out.
 """
 
@@ -30,11 +36,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hvspark.llm.frames import broadcast_if_small, checkpointed, keyed, load, row_key
-from hvspark.llm.tokens import BASE, Tokens, blocks, hash_words, mix, tokenize, window_hashes
+from hvspark.llm.tokens import BASE, Tokens, blocks, hash_words, mix, powers, tokenize, window_hashes
 
 WINDOW = 8
 LEAST = 5
 MIN_TOKENS, MIN_COVERAGE = 13, 0.5
+DRIFT, MAX_GAP = 8, 16  #: words, from one match of a chain to the next
 BROADCAST_BYTES = 64 << 20  #: of window hashes; with more of them, all windows go into the join
 WORD, NUMBER, UNIT, NAME = range(4)
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -94,6 +101,25 @@ def template(data: np.ndarray, offsets: np.ndarray) -> Template:
     return Template(t, kind, np.where(kind == NAME, _PLACE[2], plain), plain)
 
 
+def collapsed(x: Template) -> Template:
+    """x with each run of equal placeholders in a row as one unit, whose word is all of the run."""
+    t = x.tokens
+    if not len(t.hash):
+        return x
+    head = np.ones(len(t.hash), np.bool_)
+    head[1:] = (x.kind[1:] == WORD) | (x.kind[1:] != x.kind[:-1]) | (t.row[1:] != t.row[:-1])
+    at = np.flatnonzero(head)
+    if len(at) == len(head):
+        return x
+    last = np.append(at[1:], len(head)) - 1
+    up, down = powers(len(head) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t.hash * up[: len(head)])])
+    h = np.where(last > at, mix((sums[last + 1] - sums[at]) * down[at]), t.hash[at])
+    names = x.kind[at] == NAME
+    tokens = Tokens(t.row[at], t.start[at], t.end[last], h, np.searchsorted(at, t.first))
+    return Template(tokens, x.kind[at], x.full[at], np.where(names, h, x.plain[at]))
+
+
 def windows_of(x: Template, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash as a template, hash with names as words) of each window of n words in one row."""
     t = x.tokens
@@ -114,25 +140,26 @@ def _raw(t: Tokens, at: np.ndarray, n: int) -> pa.Array:
 def _items(batches):
     for b in batches:
         for lo, _, data, offsets in blocks(b.column(1)):
-            x = template(data, offsets)
-            size = np.diff(x.tokens.first)
-            for n in sorted({min(WINDOW, s) for s in size.tolist() if s >= LEAST}):
-                at, full, plain = windows_of(x, n)
-                row = x.tokens.row[at]
-                mine = np.flatnonzero(np.minimum(size[row], WINDOW) == n)
-                at, full, plain, row = at[mine], full[mine], plain[mine], row[mine]
-                kinds = x.kind[(at[:, None] + np.arange(n)).ravel()].astype(np.int32)
-                kinds = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kinds) + 1, n, dtype=np.int32)), pa.array(kinds))
-                for h in (full, plain):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), b.column(0).take(pa.array(row + lo)), pa.array((at - x.tokens.first[row]).astype(np.int32)), pa.array(size[row].astype(np.int32)), _raw(x.tokens, at, n), kinds],
-                        ["window", "item_id", "item_pos", "item_size", "item_raw", "kinds"],
-                    )
+            words = template(data, offsets)
+            for unit, x in enumerate((words, collapsed(words))):
+                size = np.diff(x.tokens.first)
+                for n in sorted({min(WINDOW, s) for s in size.tolist() if s >= LEAST}):
+                    at, full, plain = windows_of(x, n)
+                    row = x.tokens.row[at]
+                    mine = np.flatnonzero(np.minimum(size[row], WINDOW) == n)
+                    at, full, plain, row = at[mine], full[mine], plain[mine], row[mine]
+                    kinds = x.kind[(at[:, None] + np.arange(n)).ravel()].astype(np.int32)
+                    kinds = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kinds) + 1, n, dtype=np.int32)), pa.array(kinds))
+                    for h in (full, plain):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), unit, np.int32)), pa.array(h.view(np.int64)), b.column(0).take(pa.array(row + lo)), pa.array((at - x.tokens.first[row]).astype(np.int32)), pa.array(size[row].astype(np.int32)), _raw(x.tokens, at, n), kinds],
+                            ["unit", "window", "item_id", "item_pos", "item_size", "item_raw", "kinds"],
+                        )
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select(F.col("item_id").cast("bigint"), "text").distinct()
-    return rows.mapInArrow(_items, "window bigint, item_id bigint, item_pos int, item_size int, item_raw array<bigint>, kinds array<int>").dropDuplicates(["window", "item_id", "item_pos"])
+    return rows.mapInArrow(_items, "unit int, window bigint, item_id bigint, item_pos int, item_size int, item_raw array<bigint>, kinds array<int>").dropDuplicates(["unit", "window", "item_id", "item_pos"])
 
 
 class _Known:
@@ -156,22 +183,103 @@ def _documents(lengths: list[int], known):
     def run(batches):
         for b in batches:
             for lo, _, data, offsets in blocks(b.column(2)):
-                x = template(data, offsets)
-                for n in lengths:
-                    at, full, plain = windows_of(x, n)
-                    for h, some in ((full, np.ones(len(at), np.bool_)), (plain, plain != full)):
-                        hit = np.flatnonzero(some & known.value.of(h) if known else some)
-                        if len(hit):
-                            row = x.tokens.row[at[hit]]
-                            take = pa.array(row + lo)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(h[hit].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((at[hit] - x.tokens.first[row]).astype(np.int64)), _raw(x.tokens, at[hit], n)],
-                                ["window", "doc_id", "key", "pos", "raw"],
-                            )
+                words = template(data, offsets)
+                for unit, x in enumerate((words, collapsed(words))):
+                    for n in lengths:
+                        at, full, plain = windows_of(x, n)
+                        for h, some in ((full, np.ones(len(at), np.bool_)), (plain, plain != full)):
+                            hit = np.flatnonzero(some & known.value.of(h) if known else some)
+                            if len(hit):
+                                row = x.tokens.row[at[hit]]
+                                take = pa.array(row + lo)
+                                yield pa.RecordBatch.from_arrays(
+                                    [pa.array(np.full(len(hit), unit, np.int32)), pa.array(h[hit].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((at[hit] - x.tokens.first[row]).astype(np.int64)), _raw(x.tokens, at[hit], n)],
+                                    ["unit", "window", "doc_id", "key", "pos", "raw"],
+                                )
 
     return run
 
 
+def chained(places: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains over several diagonals, of (pos, item_pos, n), the one that covers most first.
+
+    Windows that meet on a diagonal are one stretch, and each stretch is in one chain at most.
+    """
+    stretches: list[list] = []  # pos, item_pos, n, windows
+    for pos, item_pos, n in sorted(places, key=lambda x: (x[0] - x[1], x[0])):
+        s = stretches[-1] if stretches else None
+        if s and s[0] - s[1] == pos - item_pos and pos <= s[0] + s[2]:
+            s[2] = max(s[2], pos + n - s[0])
+            s[3].append((pos, item_pos, n))
+        else:
+            stretches.append([pos, item_pos, n, [(pos, item_pos, n)]])
+    stretches.sort(key=lambda s: s[:3])
+    longest = max(s[2] for s in stretches)
+    score, before = [], []
+    for i, (pos, item_pos, n, _) in enumerate(stretches):
+        top, link = n, -1
+        for j in range(i - 1, -1, -1):
+            p, q, m, _ = stretches[j]
+            if pos - p > longest + MAX_GAP:
+                break
+            gain = n - max(0, p + m - pos, q + m - item_pos)
+            if p < pos and q < item_pos and gain > 0 and max(pos - p - m, item_pos - q - m) <= MAX_GAP and abs(pos - item_pos - p + q) <= DRIFT and score[j] + gain > top:
+                top, link = score[j] + gain, j
+        score.append(top)
+        before.append(link)
+    used: set[int] = set()
+    out = []
+    for i in sorted(range(len(stretches)), key=lambda i: -score[i]):
+        chain = []
+        while i >= 0 and i not in used:
+            used.add(i)
+            chain = stretches[i][3] + chain
+            i = before[i]
+        if len({p - q for p, q, _ in chain}) > 1:
+            out.append(chain)
+    return out
+
+
+def best_alignment(item_size: int, hits: list[dict]) -> tuple[int, int, int] | None:
+    """(tokens, slots, changed) of the best of a document's alignments with an item that suffice, from its matches in one unit."""
+    at: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+    for h in hits:
+        at[h["pos"], h["item_pos"], len(h["raw"])] = [(k, a, b) for k, a, b in zip(h["kinds"], h["item_raw"], h["raw"]) if k != WORD] if h["item_raw"] != h["raw"] else []
+    same = {(h["pos"], h["item_pos"], len(h["raw"])): [(k, a, b) for k, a, b in zip(h["kinds"], h["item_raw"], h["raw"]) if k != WORD] for h in hits if h["item_raw"] == h["raw"]}
+    found = []
+    for places in (at,):
+        if not places:
+            continue
+        by_diagonal: dict[int, list[tuple[int, int, int]]] = {}
+        for x in places:
+            by_diagonal.setdefault(x[0] - x[1], []).append(x)
+        for chain in [*by_diagonal.values(), *chained(list(places))]:
+            tokens = len({i for _, q, n in chain for i in range(q, q + n)})
+            if tokens < MIN_TOKENS and tokens < MIN_COVERAGE * item_size:
+                continue
+            slots = {x for c in chain for x in (same.get(c) or at[c])}
+            names = [x for x in slots if x[0] == NAME]
+            if places is at and (len(slots) > len({x[:2] for x in slots}) or len(names) > len({x[2] for x in names})):
+                continue
+            found.append((-tokens, sum(a != b for _, a, b in slots), min(p - q for p, q, _ in chain), len({x[:2] for x in slots})))
+    if not found:
+        return None
+    tokens, changed, _, slots = min(found)
+    return -tokens, slots, changed
+
+
+def _align(batches):
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            best = best_alignment(r["item_size"], r["hits"])
+            if best:
+                out.append((r["doc_id"], r["key"], r["item_id"], best[0], best[0] / r["item_size"], best[1], best[2], r["unit"]))
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "key", "item_id", "tokens", "coverage", "slots", "changed", "unit"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, key, item_id, tokens, coverage, slots, changed) of items leaked to documents.
 
@@ -189,27 +297,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
     if distinct.count() * 8 <= broadcast_bytes:
         known = spark.sparkContext.broadcast(_Known(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)))
     rows = docs.select(F.col("doc_id").cast("bigint"), row_key("doc_id", "text").alias("key"), "text")
-    hits = rows.mapInArrow(_documents(lengths, known), "window bigint, doc_id bigint, key bigint, pos bigint, raw array<bigint>")
-    slots = F.expr("filter(arrays_zip(kinds, item_raw, raw), x -> x.kinds > 0)")
-    aligned = (
-        hits.join(items, "window")
-        .groupBy("doc_id", "key", "item_id", "item_size", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .agg(F.array_sort(F.collect_set(F.struct("item_pos", F.size("raw").alias("n")))).alias("at"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
-    )
-    covered = F.expr("aggregate(at, struct(0 as n, 0 as upto), (a, x) -> struct(a.n + x.item_pos + x.n - greatest(a.upto, x.item_pos) as n, x.item_pos + x.n as upto), a -> a.n)")
-    fits = F.expr(
-        "size(slots) = size(array_distinct(transform(slots, x -> struct(x.kinds, x.item_raw)))) "
-        f"and size(filter(slots, x -> x.kinds = {NAME})) = size(array_distinct(transform(filter(slots, x -> x.kinds = {NAME}), x -> x.raw)))"
-    )
-    found = (
-        aligned.where(fits)
-        .withColumn("tokens", covered)
-        .withColumn("coverage", F.col("tokens") / F.col("item_size"))
-        .where((F.col("tokens") >= MIN_TOKENS) | (F.col("coverage") >= MIN_COVERAGE))
-        .select("doc_id", "key", "item_id", "tokens", "coverage", F.size("slots").alias("slots"), F.expr("size(filter(slots, x -> x.item_raw != x.raw))").alias("changed"), "diagonal")
-    )
-    best = W.partitionBy("doc_id", "key", "item_id").orderBy(F.desc("tokens"), "changed", "diagonal")
-    return found.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth", "diagonal")
+    hits = rows.mapInArrow(_documents(lengths, known), "unit int, window bigint, doc_id bigint, key bigint, pos bigint, raw array<bigint>")
+    aligned = hits.join(items, ["unit", "window"]).groupBy("doc_id", "key", "item_id", "item_size", "unit").agg(F.collect_set(F.struct("pos", "item_pos", "kinds", "item_raw", "raw")).alias("hits"))
+    found = aligned.select("doc_id", "key", "item_id", "item_size", "unit", "hits").mapInArrow(_align, "doc_id bigint, key bigint, item_id bigint, tokens int, coverage double, slots int, changed int, unit int")
+    best = W.partitionBy("doc_id", "key", "item_id").orderBy(F.desc("tokens"), F.desc("coverage"), "changed", "unit")
+    return found.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth", "unit")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -101,6 +101,26 @@ def test_short_items_are_one_window(spark):
     assert {(r.doc_id, r.item_id, r.changed) for r in D.leaks(d, b).collect()} == {(1, 1, 1), (1, None, 0)}
 
 
+def _found(spark, doc, item):
+    d = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    return [(r.tokens, r.changed) for r in D.leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()]
+
+
+def test_inserted_and_dropped_words_are_chained(spark):
+    w = [f"{chr(97 + i // 10)}w{chr(97 + i % 10)}" for i in range(40)]
+    assert _found(spark, " ".join([*w[:10], "so", *w[10:20], "well", *w[20:30], "now", *w[30:]]), " ".join(w)) == [(40, 0)]
+    assert _found(spark, " ".join([*w[:10], *w[11:21], *w[22:32]]), " ".join(w)) == [(30, 0)]
+    assert _found(spark, " ".join([*w[30:], *w[20:30], *w[10:20], *w[:10]]), " ".join(w)) == []  # in another order
+
+
+def test_slots_of_another_length_are_one_unit(spark):
+    w = [f"{chr(97 + i // 10)}w{chr(97 + i % 10)}" for i in range(40)]
+    text = lambda numbers: " ".join(numbers[i // 8] if i % 8 == 7 else x for i, x in enumerate(w))
+    item, more = text(["3", "4", "5", "3", "6"]), ["thirty seven", "forty two", "fifty three", "thirty seven", "sixty four"]
+    assert _found(spark, text(more), item) == [(40, 4)]
+    assert _found(spark, text([*more[:3], "ninety nine", more[4]]), item) == []
+
+
 def test_odd_rows(odd, none, spark):
     b = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and"), (1, "quick brown fox jumps over the lazy dog and")], "item_id long, text string")
     assert {r.doc_id for r in D.leaks(odd, b).collect()} == {1, 7, 4, None}
