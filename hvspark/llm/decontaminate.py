@@ -247,7 +247,7 @@ def best_alignment(item_size: int, hits: list[dict]) -> tuple[int, int, int] | N
         at[h["pos"], h["item_pos"], len(h["raw"])] = [(k, a, b) for k, a, b in zip(h["kinds"], h["item_raw"], h["raw"]) if k != WORD] if h["item_raw"] != h["raw"] else []
     same = {(h["pos"], h["item_pos"], len(h["raw"])): [(k, a, b) for k, a, b in zip(h["kinds"], h["item_raw"], h["raw"]) if k != WORD] for h in hits if h["item_raw"] == h["raw"]}
     found = []
-    for places in (at,):
+    for places in (at, same):
         if not places:
             continue
         by_diagonal: dict[int, list[tuple[int, int, int]]] = {}

@@ -121,6 +121,12 @@ def test_slots_of_another_length_are_one_unit(spark):
     assert _found(spark, text([*more[:3], "ninety nine", more[4]]), item) == []
 
 
+def test_verbatim_words_need_no_fit(spark):
+    w = [f"{chr(97 + i // 10)}w{chr(97 + i % 10)}" for i in range(60)]
+    w[20] = w[40] = "7"
+    assert _found(spark, " ".join([*w[:40], "9", *w[41:]]), " ".join(w)) == [(59, 0)]
+
+
 def test_odd_rows(odd, none, spark):
     b = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and"), (1, "quick brown fox jumps over the lazy dog and")], "item_id long, text string")
     assert {r.doc_id for r in D.leaks(odd, b).collect()} == {1, 7, 4, None}
