@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hvspark.llm.frames import load
+from hvspark.llm.frames import broadcast_if_small, load
 from hvspark.llm.tokens import blocks, fold, utf8
 
 SAMPLE_BYTES = 24_000  #: bound on the labelled text per language, in normalised bytes
@@ -161,23 +161,38 @@ def phrases(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def labelled_texts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
-    """Per language, whole labelled texts in the order of a hash until they fill the bound.
+    """Per language, labelled texts in the order of a hash until they fill the bound.
 
-    Only texts of at most an eighth of the bound take part, so that no single one dominates.
+    Texts of at most an eighth of the bound come first, and whole; of longer ones a stretch of that
+    size from the first letter on follows, so that no single one dominates.
     """
+    most = max(1, sample_bytes // 8)
+    letter = "[A-Za-z\\x{80}-\\x{10ffff}]"
+    rows = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size")).where(F.col("lang").isNotNull() & F.col("text").rlike(letter))
+    order = W.partitionBy("lang").orderBy("long", "h")
+    wanted = (  # each has a byte at least, so no more rows than bytes are needed; the texts stay where they are
+        rows.select("lang", "h", (F.col("size") > most).alias("long"), F.least("size", F.lit(most)).alias("size"))
+        .withColumn("nth", F.row_number().over(order))
+        .where(F.col("nth") <= sample_bytes)
+        .withColumn("before", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
+        .where(F.col("before") < sample_bytes)
+        .groupBy("lang", "h", "long")
+        .agg(F.min("nth").alias("nth"))
+    )
+    short = F.when(F.col("long"), F.substring(F.regexp_replace("text", "^[^A-Za-z\\x{80}-\\x{10ffff}]+", ""), 1, most)).otherwise(F.col("text"))
     rows = (
-        docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-        .where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes // 8) & F.col("text").rlike("[^\\W\\d_]"))
-        .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "text")))
-        .where(F.col("nth") <= max(1, sample_bytes // 250))
+        rows.join(broadcast_if_small(wanted, 40), ["lang", "h"])
+        .where((F.col("size") > most) == F.col("long"))
+        .dropDuplicates(["lang", "h", "long"])
         .orderBy("lang", "nth")
-        .select("lang", "text")
+        .select("lang", short.alias("text"))
         .toLocalIterator()
     )
     out: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for lang, text in rows:
         if size.get(lang, 0) < sample_bytes:
+            text = text.encode()[:most].decode(errors="ignore")
             out.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text.encode())
     return out

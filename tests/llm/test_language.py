@@ -74,3 +74,13 @@ def test_a_tie_goes_to_the_first_name():
 def test_labelled_texts_are_whole_and_bounded(odd):
     got = L.labelled_texts(odd, 4000)
     assert set(got) == {"en"} and all(len(t) <= 500 for t in got["en"])
+
+
+def test_a_language_of_long_texts_is_kept_and_short_texts_fill_the_bound(spark):
+    short = [(i, f"a title of number {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame([*short, (900, "12 " + "это другой язык " * 900, "ru"), (901, "1", "xx")], "doc_id long, text string, lang string")
+    got = L.labelled_texts(docs, 4000)
+    assert set(got) == {"en", "ru"} and got["ru"][0].startswith("это") and len(got["ru"][0].encode()) <= 500
+    size = sum(len(t.encode()) for t in got["en"])
+    assert 4000 <= size < 4500
+    assert L.scores(L.fit(got), pa.array(["другой язык это"]))[0] == ["ru"]
