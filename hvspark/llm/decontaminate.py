@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hvspark.llm.frames import broadcast_if_small, checkpointed, keyed, load, row_key
+from hvspark.llm.frames import KEY, broadcast_if_small, checkpointed, keyed, load, row_key
 from hvspark.llm.tokens import BASE, Tokens, blocks, hash_words, mix, powers, tokenize, window_hashes
 
 WINDOW = 8
@@ -276,7 +276,7 @@ def _align(batches):
             if best:
                 out.append((r["doc_id"], r["key"], r["item_id"], best[0], best[0] / r["item_size"], best[1], best[2], r["unit"]))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.struct([("a", pa.int64()), ("b", pa.int64())]), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "key", "item_id", "tokens", "coverage", "slots", "changed", "unit"])
 
 
@@ -297,9 +297,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
     if distinct.count() * 8 <= broadcast_bytes:
         known = spark.sparkContext.broadcast(_Known(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)))
     rows = docs.select(F.col("doc_id").cast("bigint"), row_key("doc_id", "text").alias("key"), "text")
-    hits = rows.mapInArrow(_documents(lengths, known), "unit int, window bigint, doc_id bigint, key bigint, pos bigint, raw array<bigint>")
+    hits = rows.mapInArrow(_documents(lengths, known), f"unit int, window bigint, doc_id bigint, key {KEY}, pos bigint, raw array<bigint>")
     aligned = hits.join(items, ["unit", "window"]).groupBy("doc_id", "key", "item_id", "item_size", "unit").agg(F.collect_set(F.struct("pos", "item_pos", "kinds", "item_raw", "raw")).alias("hits"))
-    found = aligned.select("doc_id", "key", "item_id", "item_size", "unit", "hits").mapInArrow(_align, "doc_id bigint, key bigint, item_id bigint, tokens int, coverage double, slots int, changed int, unit int")
+    found = aligned.select("doc_id", "key", "item_id", "item_size", "unit", "hits").mapInArrow(_align, f"doc_id bigint, key {KEY}, item_id bigint, tokens int, coverage double, slots int, changed int, unit int")
     best = W.partitionBy("doc_id", "key", "item_id").orderBy(F.desc("tokens"), F.desc("coverage"), "changed", "unit")
     return found.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth", "unit")
 
@@ -307,7 +307,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, to which no item is leaked."""
     bad = leaks(docs, benchmark).select("key").distinct()
-    return keyed(docs).join(broadcast_if_small(bad, 16), "key", "left_anti").select("row.*")
+    return keyed(docs).join(broadcast_if_small(bad, 32), "key", "left_anti").select("row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

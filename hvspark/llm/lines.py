@@ -28,13 +28,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hvspark.llm.cuckoo import CuckooFilter, Full
-from hvspark.llm.frames import keyed, load, parts_of, row_key
+from hvspark.llm.frames import KEY, keyed, load, parts_of, row_key
 
 SHARD_BYTES = 16 << 20  #: of documents a shard, where the number of shards isn't given
 LINE = ["shard", "h1", "h2"]
-_OWNER = "struct<batch:int,doc_id:bigint,key:bigint,pos:int>"
+_OWNER = f"struct<batch:int,doc_id:bigint,key:{KEY},pos:int>"
 _REFS = f"shard int, h1 bigint, h2 bigint, refs bigint, owner {_OWNER}"
-_LINES = "shard int, h1 bigint, h2 bigint, batch int, doc_id bigint, key bigint, pos int"
+_LINES = f"shard int, h1 bigint, h2 bigint, batch int, doc_id bigint, key {KEY}, pos int"
 _PROBED = f"{_REFS}, seen boolean, filter binary"
 
 
