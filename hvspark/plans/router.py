@@ -38,8 +38,9 @@ def search(queries: DataFrame, vectors: DataFrame, dim: int, k: int, attention:
     n = vectors.count()
     size = queries.agg(F.avg(F.size("hv"))).first()[0] or 0
     way = route(n, int(size), dim, k, attention=attention)
-    if way.kind == "scan":
-        return R.top_k_scan(queries, vectors, k)
+    if way.kind == "scan":  # the rows of the overlap join, which has none of empty vectors and none at 0
+        some = F.size("hv") > 0
+        return R.top_k_scan(queries.where(some), vectors.where(some), k).where("similarity > 0")
     if way.kind == "attend":
         return R.attend(queries, vectors, k).select("query_id", "rank", "id", "similarity")
     return R.top_k(queries, vectors, k)

@@ -211,12 +211,13 @@ def check_record(record: dict, s: str, r: str, o: str, trusted: set[str] | None
 
 
 def encrypt(column, key, aad: str = ""):
-    """AES-GCM under a key of 16, 24 or 32 bytes; the nonce goes before the ciphertext."""
-    return F.aes_encrypt(column, key, F.lit("GCM"), F.lit("DEFAULT"))
+    """AES-GCM under a key of 16, 24 or 32 bytes; the nonce goes before the ciphertext. aad is bound to it, unencrypted, and needed again."""
+    return F.aes_encrypt(column, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(aad.encode()))
 
 
-def decrypt(column, key):
-    return F.aes_decrypt(column, key, F.lit("GCM"), F.lit("DEFAULT"))
+def decrypt(column, key, aad: str = ""):
+    """What ``encrypt`` was given; an error if key, aad or data differ."""
+    return F.aes_decrypt(column, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad.encode()))
 
 
 def derive_key(password: str, salt: bytes) -> bytes:

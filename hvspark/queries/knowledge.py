@@ -52,7 +52,7 @@ def triple_pattern(spark, sf_dir):
 
 
 def relation_patterns(spark, sf_dir):
-    return C.patterns(triples(spark, sf_dir)).select("r", "frequency", F.size("subjects").alias("subjects"), F.array_join("objects", ",").alias("objects")).where("r <> 'source'")
+    return C.patterns(triples(spark, sf_dir)).select("r", "frequency", F.size("subjects").alias("subjects"), F.array_join("objects", ",").alias("objects"))
 
 
 def co_occurring(spark, sf_dir):
@@ -159,7 +159,7 @@ _GAPS = f"""with {_KINDS}, peers as (select a.rel, b.rel as theirs, case when a.
   have as (select rel, r, sum(m) as have from (select rel, theirs, m, unnest(theirs) as r from peers where m > 0) where not list_contains(rel, r) group by 1, 2)"""
 ORACLES = {
     "triple_pattern": f"with {TRIPLES} select * from triples where r = 'in' and o = 'n5'",
-    "relation_patterns": f"with {TRIPLES} select r, count(*) as frequency, cast(count(distinct s) as integer) as subjects, string_agg(distinct o, ',' order by o) as objects from triples where r <> 'source' group by 1 having count(*) >= 3",
+    "relation_patterns": f"with {TRIPLES} select r, count(*) as frequency, cast(count(distinct s) as integer) as subjects, string_agg(distinct o, ',' order by o) as objects from triples group by 1 having count(*) >= 3",
     "co_occurrence": f"""with {_KINDS} select array_to_string(a.rel, ',') as relations_a, array_to_string(b.rel, ',') as relations_b, a.n as n_a, b.n as n_b, cast(len(list_intersect(a.rel, b.rel)) as integer) as shared
         from kinds a join kinds b on array_to_string(a.rel, chr(1)) <= array_to_string(b.rel, chr(1)) where len(list_intersect(a.rel, b.rel)) >= 2 and (a.rel <> b.rel or a.n > 1)""",
     "knowledge_gaps": f"{_GAPS} select s, r, have / peers as coverage from who join have using (rel) join total using (rel) where have / peers >= 0.3",

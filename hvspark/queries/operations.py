@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from hvspark.operators import aggregate as A
 from hvspark.operators import meaning as M
 from hvspark.operators import retrieve as R
 from hvspark.queries.vectors import BASKETS, TOP10, baskets
-from hvspark.sources.tables import load
+from hvspark.sources.store import Store
+from hvspark.sources.tables import load, shared_root
 from hvspark.streaming import folds
 
 _OPS = "case event_id % 5 when 0 then 'store' else 'query' end"
@@ -33,6 +36,45 @@ def audit_since(spark, sf_dir):
     return e.where(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id", F.sha2(F.col("user_id").cast("string"), 256).alias("id_hash"))
 
 
+def _store(spark, sf_dir):
+    """A store of all order lines: odd lines in one commit, even ones in the next, each in the order of its keys; so ids come many times in each."""
+    store = Store(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}", 1_000_000)
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.array(F.col("l_partkey").cast("int"), F.col("l_linenumber")).alias("hv"), "l_orderkey", "l_linenumber")
+    for rest in (1, 0):
+        store.memorize(lines.where(F.pmod("l_linenumber", F.lit(2)) == rest).orderBy("l_orderkey", "l_linenumber").select("id", "hv"))
+    return store
+
+
+def _rows(store):
+    return store.vectors.select("id", F.array_join("hv", ",").alias("hv"))
+
+
+def store_latest(spark, sf_dir):
+    return _rows(_store(spark, sf_dir))
+
+
+def store_compacted(spark, sf_dir):
+    """The same without returned orders, compacted, and with more written after."""
+    store = _store(spark, sf_dir)
+    orders = load(spark, sf_dir, "orders")
+    store.delete(orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
+    store.compact()
+    store.memorize(orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.array(F.lit(0)).alias("hv")))
+    store.compact()
+    return _rows(store)
+
+
+def store_relations(spark, sf_dir):
+    """Relations of suppliers and parts, removed once for each of the first lines of an order; removals of what isn't there do nothing."""
+    store = Store(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}", 1_000_000)
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("source"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("target"), "l_linenumber")
+    store.remove_relations(lines.where("l_linenumber = 2"))
+    store.add_relations(lines)
+    store.remove_relations(lines.where("l_linenumber = 1"))
+    store.compact()
+    return store.relations.groupBy("source", "type", "target").agg(F.count("*").alias("n"))
+
+
 def federated_orders(spark, sf_dir):
     b = baskets(spark, sf_dir)
     q = b.withColumnRenamed("id", "query_id")
@@ -197,13 +239,19 @@ def separation_auc(spark, sf_dir):
     return A.auc(d.select(F.col("n_chars"), (F.col("quality") == 1).alias("good")), "n_chars", "good").select(F.round("auc", 9).alias("auc"))
 
 
-QUERIES = {f.__name__: f for f in (latest_wins, audit_since, federated_orders, windowed_events, session_events, sliding_unions, decayed_counts, spread_unions, cascaded_unions, tiered_unions, reservoir_sample, count_read_outs, phase_store, plastic_scores, two_stores, text_readability, text_metrics, facts_of_text, chain_of_events, merkle_roots, merkle_root, revoked_ids, block_codes, block_bundles, phase_similarity, phase_bundles, ternary_vectors, ternary_bundles, separation_auc)}
+QUERIES = {f.__name__: f for f in (latest_wins, audit_since, store_latest, store_compacted, store_relations, federated_orders, windowed_events, session_events, sliding_unions, decayed_counts, spread_unions, cascaded_unions, tiered_unions, reservoir_sample, count_read_outs, phase_store, plastic_scores, two_stores, text_readability, text_metrics, facts_of_text, chain_of_events, merkle_roots, merkle_root, revoked_ids, block_codes, block_bundles, phase_similarity, phase_bundles, ternary_vectors, ternary_bundles, separation_auc)}
 _E = r" \t\n\r.!?,;:()\[\]{}\"''\-"
 _L = r"A-Za-z\x{80}-\x{10FFFF}"
 _CODES = "codes as (select o_orderkey as id, o_custkey as customer, list_transform(range(1, 9), lambda b: (o_orderkey * b + o_custkey) % 16) as code from orders), pairs as (select id, code as a, lag(code) over (partition by customer order by id) as b from codes qualify b is not null)"
 _ITEMS = f"{BASKETS}, items as (select o_custkey as customer, id, unnest(hv) as idx from baskets join orders on o_orderkey = id)"
 _SIGNED = f"{BASKETS}, t as (select id, o_custkey as customer, hv from baskets join orders on o_orderkey = id)"
+_LAST = "last as (select l_orderkey as id, max_by(l_partkey || ',' || l_linenumber, (1 - l_linenumber % 2, l_linenumber)) as hv from lineitem group by 1)"
 ORACLES = {
+    "store_latest": f"with {_LAST} select cast(id as varchar) as id, hv from last",
+    "store_compacted": f"""with {_LAST} select cast(o_orderkey as varchar) as id, case when o_orderkey % 10 = 0 then '0' else hv end as hv
+        from orders left join last on id = o_orderkey where o_orderkey % 10 = 0 or (o_orderstatus <> 'F' and hv is not null)
+        union all select cast(id as varchar), hv from last where id not in (select o_orderkey from orders)""",
+    "store_relations": "select cast(l_suppkey as varchar) as source, l_returnflag as type, l_linestatus as target, count(*) - count(*) filter (where l_linenumber = 1) as n from lineitem group by 1, 2, 3 having n > 0",
     "latest_wins": "select user_id as id, event_id as seq, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1 and event_id % 11 <> 0",
     "audit_since": "select event_id, sha256(cast(user_id as varchar)) as id_hash from events where ts >= timestamp '2024-01-20'",
     "federated_orders": f"with {BASKETS}, {TOP10} select query_id, rank, id, similarity from top where rank <= 5",

@@ -1,7 +1,12 @@
 """A store of vectors, facts and relations: append-only Parquet change logs with latest-wins views.
 
-Each kind is a folder of commits; a commit is written under a new name and counts once its manifest
-line stands, so a job that dies leaves nothing half done. ``seq`` orders the rows of all commits.
+Each kind is a folder of commits; a commit is written under a new name and counts once Spark's mark of
+success stands, so a job that dies leaves nothing half done. ``seq``, the time of the commit and the row's
+place in it, orders the rows of all commits; no two rows share one.
+
+A compaction writes a base and, after it, the names of the commits that the base replaces. Rows of a base
+keep their ``seq``, and deletions stay in it, so a commit that was begun before and ends after it is read
+in its place.
 """
 
 from __future__ import annotations
@@ -12,17 +17,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from hvspark.functions.hashing import atom_udf, dense_udf, text_udf
 from hvspark.functions.vectors import scalar, xor
 from hvspark.operators.meaning import compose_triples, latest, sequence
 
 SCHEMAS = {
-    "vectors": "id string, hv array<int>, deleted boolean, seq bigint",
-    "atoms": "id string, hv array<int>, deleted boolean, seq bigint",
-    "triples": "id string, s string, r string, o string, source string, deleted boolean, seq bigint",
-    "relations": "source string, type string, target string, properties string, valid_from double, valid_to double, deleted boolean, seq bigint",
-    "audit": "timestamp_ms bigint, op string, id_hash string, reason string, seq bigint",
+    "vectors": "id string, hv array<int>, deleted boolean, seq struct<at:bigint,n:bigint>",
+    "atoms": "id string, hv array<int>, deleted boolean, seq struct<at:bigint,n:bigint>",
+    "triples": "id string, s string, r string, o string, source string, deleted boolean, seq struct<at:bigint,n:bigint>",
+    "relations": "source string, type string, target string, properties string, valid_from double, valid_to double, deleted boolean, seq struct<at:bigint,n:bigint>",
+    "audit": "timestamp_ms bigint, op string, id_hash string, reason string, seq struct<at:bigint,n:bigint>",
 }
 
 
@@ -34,26 +40,41 @@ class Store:
 
     # --- change logs ---
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, name: str) -> list[str]:
+        path, fs = self._path(name)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
     def _commits(self, kind: str) -> list[str]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/{n}/_SUCCESS"))]
-        base = max((n for n in done if n.endswith("-base")), default="")
-        return sorted(n for n in done if n >= base)
+        """The commits that count: done, and not replaced by a base."""
+        done = []
+        for n in self._names(kind):
+            path, fs = self._path(f"{kind}/{n}/_SUCCESS")
+            if fs.exists(path):
+                done.append(n)
+        replaced, bases = set(), set()
+        for n in self._names(f"{kind}-replaced"):
+            path, fs = self._path(f"{kind}-replaced/{n}/_SUCCESS")
+            if fs.exists(path):
+                bases.add(n)
+                replaced |= {r[0] for r in self.spark.read.text(f"{self.folder}/{kind}-replaced/{n}").collect()}
+        return sorted(n for n in done if n not in replaced and (not n.endswith("-base") or n in bases))
 
     def log(self, kind: str) -> DataFrame:
-        """All rows of all commits since the last compaction."""
+        """All rows of all commits that count."""
         paths = [f"{self.folder}/{kind}/{n}" for n in self._commits(kind)]
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[kind])
         return self.spark.read.schema(SCHEMAS[kind]).parquet(*paths)
 
-    def _append(self, kind: str, rows: DataFrame, suffix: str = "") -> None:
-        name = f"{time.time_ns():020d}{suffix}"
-        names = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
-        rows.withColumn("seq", F.lit(int(name[:20])) + F.monotonically_increasing_id() % 1000).select(*names).write.parquet(f"{self.folder}/{kind}/{name}")
+    def _append(self, kind: str, rows: DataFrame) -> None:
+        at = time.time_ns()
+        names = [c.name for c in _parse_datatype_string(SCHEMAS[kind]).fields]
+        seq = F.struct(F.lit(at).alias("at"), F.monotonically_increasing_id().alias("n"))
+        rows.withColumn("seq", seq).select(*names).write.parquet(f"{self.folder}/{kind}/{at:020d}")
 
     def _audit(self, op: str, ids: DataFrame, reason: str = "") -> None:
         self._append("audit", ids.select(F.lit(time.time_ns() // 1_000_000).alias("timestamp_ms"), F.lit(op).alias("op"), F.sha2(F.col("id").cast("string"), 256).alias("id_hash"), F.lit(reason).alias("reason")))
@@ -69,11 +90,15 @@ class Store:
 
     @property
     def atoms(self) -> DataFrame:
-        """The first vector of each name, unless it was deleted after."""
+        """The first vector of each name since it was last deleted."""
+        return self._atoms().select("id", "hv")
+
+    def _atoms(self) -> DataFrame:
+        gone = F.max(F.when(F.col("deleted"), F.col("seq")))
         log = self.log("atoms")
-        first = F.row_number().over(W.partitionBy("id").orderBy("seq"))
-        gone = log.where("deleted").select("id").distinct()
-        return log.where(~F.col("deleted")).withColumn("_n", first).where("_n = 1").join(gone, "id", "left_anti").select("id", "hv")
+        last = log.groupBy("id").agg(gone.alias("gone"))
+        live = log.where(~F.col("deleted")).join(last, "id").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
+        return live.groupBy("id").agg(F.min_by("hv", "seq").alias("hv"), F.min("seq").alias("seq"))
 
     @property
     def triples(self) -> DataFrame:
@@ -81,11 +106,12 @@ class Store:
 
     @property
     def relations(self) -> DataFrame:
-        """Additions that no removal met; a removal meets the first one left of its kind."""
-        w = W.partitionBy("source", "type", "target", "deleted").orderBy("seq")
-        log = self.log("relations").withColumn("_n", F.row_number().over(w))
-        gone = log.where("deleted").select("source", "type", "target", "_n")
-        return log.where(~F.col("deleted")).join(gone, ["source", "type", "target", "_n"], "left_anti").drop("_n", "deleted")
+        """Additions that no removal met; a removal meets the first one that is there at its time, if any."""
+        what = W.partitionBy("source", "type", "target")
+        order = what.orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+        log = self.log("relations").withColumns({"_n": F.sum(F.when(F.col("deleted"), 0).otherwise(1)).over(order), "_held": F.sum(F.when(F.col("deleted"), -1).otherwise(1)).over(order)})
+        met = F.sum(F.col("deleted").cast("int")).over(what) - F.greatest(F.lit(0), -F.min("_held").over(what))
+        return log.withColumn("_met", met).where(~F.col("deleted") & (F.col("_n") > F.col("_met"))).drop("_n", "_held", "_met", "deleted")
 
     @property
     def composites(self) -> DataFrame:
@@ -130,7 +156,7 @@ class Store:
         """(s, r, o[, source]): the fact, and atoms for names that have none."""
         if "source" not in rows.columns:
             rows = rows.withColumn("source", F.lit(None).cast("string"))
-        names = rows.select(F.explode(F.array("s", "r", "o")).alias("id")).distinct().join(self.log("atoms").select("id"), "id", "left_anti")
+        names = rows.select(F.explode(F.array("s", "r", "o")).alias("id")).distinct().join(self.atoms.select("id"), "id", "left_anti")
         self._append("atoms", names.select("id", atom_udf(self.dim)(F.col("id")).alias("hv"), F.lit(False).alias("deleted")))
         self._append("triples", rows.select(F.concat_ws(":", "source", "s", "r", "o").alias("id"), "s", "r", "o", "source", F.lit(False).alias("deleted")))
 
@@ -163,9 +189,21 @@ class Store:
         return there.select("id", F.coalesce("v", F.lit(False)).alias("existed"))
 
     def compact(self) -> None:
-        """Rewrite what is live as a new base, which later reads start from. The audit log stays whole."""
+        """Rewrite what counts as a new base, which later reads use in place of the commits there were. The audit log stays whole."""
         for kind in ("vectors", "atoms", "triples", "relations"):
-            self._append(kind, getattr(self, kind).withColumn("deleted", F.lit(False)), "-base")
+            commits = self._commits(kind)
+            if not commits:
+                continue
+            log = self.log(kind)
+            if kind == "relations":
+                rows = self.relations.withColumn("deleted", F.lit(False))
+            elif kind == "atoms":
+                rows = self._atoms().withColumn("deleted", F.lit(False)).unionByName(log.where("deleted").groupBy("id").agg(F.max("seq").alias("seq")).select("id", F.array().cast("array<int>").alias("hv"), F.lit(True).alias("deleted"), "seq"))
+            else:
+                rows = log.join(log.groupBy("id").agg(F.max("seq").alias("seq")), ["id", "seq"])
+            name = f"{time.time_ns():020d}-base"
+            rows.select(*[c.name for c in _parse_datatype_string(SCHEMAS[kind]).fields]).write.parquet(f"{self.folder}/{kind}/{name}")
+            self.spark.createDataFrame([(c,) for c in commits], "name string").coalesce(1).write.text(f"{self.folder}/{kind}-replaced/{name}")
 
 
 def federated_vectors(stores: list[Store]) -> DataFrame:

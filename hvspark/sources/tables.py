@@ -11,11 +11,26 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names for what all executors read.
+
+    Where none is named, a temporary one of this machine: allowed with a local master only, as
+    executors elsewhere wouldn't see it.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="shared")
+    return named
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; where it names none (on one machine), a temporary one."""
+    """The session's checkpoint folder, within ``shared_root``."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_root(spark))
     return sc.getCheckpointDir()
 
 

@@ -153,6 +153,10 @@ def test_signatures_and_trees(spark):
         assert P.proves(root, hashes[i], proof) and not P.proves(root, hashes[i - 1], proof)
     k = P.derive_key("secret", b"salt")
     assert one(spark, x=P.decrypt(P.encrypt(F.lit("text"), F.lit(bytearray(k))), F.lit(bytearray(k))).cast("string")).x == "text"
+    made = P.encrypt(F.lit("text"), F.lit(bytearray(k)), "for a")
+    assert one(spark, x=P.decrypt(made, F.lit(bytearray(k)), "for a").cast("string")).x == "text"
+    with pytest.raises(Exception):
+        one(spark, x=P.decrypt(made, F.lit(bytearray(k)), "for b"))
 
 
 def test_plastic_field_strengthens_only_what_is_there():
@@ -250,6 +254,46 @@ def test_routes():
     assert (router.route(10, 1, 64, 100).beam, router.route(10, 1, 64, 100).probes) == (200, 12)
 
 
+def test_a_router_gives_the_same_rows_either_way(spark, monkeypatch):
+    v = spark.createDataFrame([(i, sorted({i, i + 1, 50 + i % 3})) for i in range(20)] + [(99, [])], "id long, hv array<int>")
+    q = v.withColumnRenamed("id", "query_id")
+    rows = []
+    for below in (1000, 0):
+        monkeypatch.setattr(router, "SCAN_BELOW", below)
+        rows.append(sorted(map(tuple, router.search(q, v, 64, 15).collect())))
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_store_keeps_its_order(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), 4096)
+    s.memorize(spark.range(0, 5000, 1, 4).select((F.col("id") % 2500).alias("id"), F.array(F.col("id").cast("int")).alias("hv")))
+    assert s.log("vectors").select("seq").distinct().count() == 5000
+    assert s.vectors.where("hv[0] <> cast(id as int) + 2500").count() == 0
+    relation = spark.createDataFrame([("a", "t", "b")], "source string, type string, target string")
+    s.remove_relations(relation)
+    s.add_relations(relation)
+    assert s.relations.count() == 1
+
+
+def test_a_commit_that_ends_after_a_compaction_counts_in_its_place(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), 4096)
+    row = lambda i, x: spark.createDataFrame([(i, [x])], "id string, hv array<int>")
+    s.memorize(row("a", 1))
+    s.memorize(row("b", 1))
+    late = sorted(s._names("vectors"))[1]
+    mark = tmp_path / "s" / "vectors" / late / "_SUCCESS"
+    mark.unlink()
+    s.memorize(row("c", 1))
+    s.delete(spark.createDataFrame([("c",)], "id string"))
+    s.memorize(row("a", 2))
+    s.compact()
+    assert {r.id: r.hv for r in s.vectors.collect()} == {"a": [2]}
+    mark.touch()
+    assert {r.id: r.hv for r in s.vectors.collect()} == {"a": [2], "b": [1]}
+    s.compact()
+    assert {r.id: r.hv for r in s.vectors.collect()} == {"a": [2], "b": [1]}
+
+
 def test_store_and_memory(spark, tmp_path):
     m = Memory(spark, str(tmp_path / "m"), 4096)
     m.memorize_batch([("a", "the cat sat on the mat"), ("b", "stocks fell sharply today")])
