@@ -39,9 +39,9 @@ def audit_since(spark, sf_dir):
 def _store(spark, sf_dir):
     """A store of all order lines: odd lines in one commit, even ones in the next, each in the order of its keys; so ids come many times in each."""
     store = Store(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}", 1_000_000)
-    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.array(F.col("l_partkey").cast("int"), F.col("l_linenumber")).alias("hv"), "l_orderkey", "l_linenumber")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.array(F.col("l_linenumber").cast("int"), F.col("l_partkey").cast("int")).alias("hv"), "l_orderkey", "l_linenumber")
     for rest in (1, 0):
-        store.memorize(lines.where(F.pmod("l_linenumber", F.lit(2)) == rest).orderBy("l_orderkey", "l_linenumber").select("id", "hv"))
+        store.memorize(lines.where(F.pmod("l_linenumber", F.lit(2)) == rest).orderBy("l_orderkey", "hv").select("id", "hv"))
     return store
 
 
@@ -245,7 +245,7 @@ _L = r"A-Za-z\x{80}-\x{10FFFF}"
 _CODES = "codes as (select o_orderkey as id, o_custkey as customer, list_transform(range(1, 9), lambda b: (o_orderkey * b + o_custkey) % 16) as code from orders), pairs as (select id, code as a, lag(code) over (partition by customer order by id) as b from codes qualify b is not null)"
 _ITEMS = f"{BASKETS}, items as (select o_custkey as customer, id, unnest(hv) as idx from baskets join orders on o_orderkey = id)"
 _SIGNED = f"{BASKETS}, t as (select id, o_custkey as customer, hv from baskets join orders on o_orderkey = id)"
-_LAST = "last as (select l_orderkey as id, max_by(l_partkey || ',' || l_linenumber, (1 - l_linenumber % 2, l_linenumber)) as hv from lineitem group by 1)"
+_LAST = "last as (select l_orderkey as id, max_by(l_linenumber || ',' || l_partkey, (1 - l_linenumber % 2, l_linenumber, l_partkey)) as hv from lineitem group by 1)"
 ORACLES = {
     "store_latest": f"with {_LAST} select cast(id as varchar) as id, hv from last",
     "store_compacted": f"""with {_LAST} select cast(o_orderkey as varchar) as id, case when o_orderkey % 10 = 0 then '0' else hv end as hv

@@ -254,6 +254,18 @@ def test_routes():
     assert (router.route(10, 1, 64, 100).beam, router.route(10, 1, 64, 100).probes) == (200, 12)
 
 
+def test_heavy_overlaps_are_those_of_the_whole_join(spark):
+    v = spark.createDataFrame([(i, sorted({0, 1, 10 + i % 7, 30 + i % 11, 50 + i})) for i in range(60)], "id long, hv array<int>")
+    q = v.withColumnRenamed("id", "query_id").unionByName(spark.createDataFrame([(100, [0, 1]), (101, []), (102, [999])], "query_id long, hv array<int>"))
+    weights = A.idf(v, 1024)
+    scores = {}
+    for r in R.weighted_overlap(q, v, weights).collect():
+        scores.setdefault(r.query_id, {})[r.id] = r.score
+    want = {(a, b): s for a, of in scores.items() for b, s in of.items() if s > 0.3 * max(of.values())}
+    got = {(r.query_id, r.id): r.score for r in R.heavy_overlap(q, v, weights, 0.3, 8).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+
+
 def test_a_router_gives_the_same_rows_either_way(spark, monkeypatch):
     v = spark.createDataFrame([(i, sorted({i, i + 1, 50 + i % 3})) for i in range(20)] + [(99, [])], "id long, hv array<int>")
     q = v.withColumnRenamed("id", "query_id")
