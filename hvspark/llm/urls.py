@@ -1,13 +1,17 @@
 """URL filter by a weighted vocabulary.
 
-One Aho-Corasick automaton of all terms passes over the lower-cased URL. A hit counts where the
-term is bounded: a letter may not be followed by another over either of its borders, nor a digit by
-another digit. One strict term rejects a page, and so do soft terms whose weights add up to
-SOFT_LIMIT, each distinct term counting once.
+One Aho-Corasick automaton of all terms passes over the URL, percent-decoded and lower-cased. A hit counts
+where the term is bounded: a letter may not be followed by another over either of its borders, nor a digit
+by another digit. Terms marked ``host`` also count at the beginning or the end of a label of the host,
+as names there are written without blanks. One strict term rejects a page, and so do several distinct
+soft terms whose weights add up to SOFT_LIMIT, each term counting once.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from urllib.parse import unquote
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +19,17 @@ from pyspark.sql import functions as F
 
 from hvspark.llm.frames import load
 
-STRICT = ("porn", "porno", "pornography", "xxx", "hentai", "escort", "escorts", "camgirl", "camgirls", "milf", "viagra", "cialis", "casino", "casinos", "cheap-pills", "spam-farm", "adult-videos", "free-sex", "warez", "malware", "phishing")
-SOFT = {
-    "adult": 1, "sex": 1, "sexy": 1, "nude": 1, "erotic": 1, "dating": 1, "webcam": 1, "bet": 1, "betting": 1, "poker": 1, "slots": 1, "jackpot": 1, "gambling": 1, "loan": 1, "loans": 1, "payday": 1, "credit": 1, "cheap": 1,
-    "pills": 1, "pill": 1, "pharma": 1, "pharmacy": 1, "replica": 1, "discount": 1, "free": 1, "win": 1, "winner": 1, "prize": 1, "bonus": 1, "spam": 1, "farm": 1, "crack": 1, "keygen": 1, "torrent": 1, "download": 1, "hack": 1,
-}
-SOFT_LIMIT = 2
+#: (term, strict, weight, host): a table of this form can be given instead
+TERMS = (
+    *((x, True, 0.0, True) for x in ("porn", "porno", "pornography", "hentai", "camgirl", "camgirls", "viagra", "casino", "casinos", "warez")),
+    *((x, True, 0.0, False) for x in ("xxx", "escort", "escorts", "milf", "cialis", "cheap-pills", "spam-farm", "adult-videos", "free-sex", "malware", "phishing")),
+    *((x, False, 1.5, False) for x in ("sex", "sexy", "nude", "erotic", "poker", "betting", "gambling", "jackpot", "payday", "keygen", "pharma")),
+    *((x, False, 1.0, False) for x in ("adult", "dating", "webcam", "bet", "slots", "loan", "loans", "pill", "pills", "pharmacy", "replica", "spam", "crack", "torrent", "hack")),
+    *((x, False, 0.5, False) for x in ("credit", "cheap", "discount", "free", "win", "winner", "prize", "bonus", "farm", "download")),
+)
+SOFT_LIMIT, SEVERAL = 2.0, 2
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-_SCHEMA = "strict_hits int, soft_hits int, soft_weight int, terms string, reject boolean"
+_SCHEMA = "strict_hits int, soft_hits int, soft_weight double, terms string, reject boolean"
 
 
 def _joined(a: str, b: str) -> bool:
@@ -33,46 +40,70 @@ def lower_ascii(text: str) -> str:
     return text.translate({c: c + 32 for c in range(65, 91)})
 
 
-class Vocabulary:
-    """strict: terms; soft: weight of each term. A term that is in both is strict; case of ASCII letters doesn't matter."""
+def host_of(url: str) -> tuple[int, int]:
+    """Where the host stands in a URL: after ``//``, to the first of ``/?#:`` or the end."""
+    start = url.find("//")
+    if start < 0:
+        return 0, 0
+    start += 2
+    return start, min((i for i in (url.find(c, start) for c in "/?#:") if i >= 0), default=len(url))
 
-    def __init__(self, strict=STRICT, soft=SOFT, limit: int = SOFT_LIMIT):
-        self.strict = {lower_ascii(x) for x in strict if x}
-        self.soft = {lower_ascii(x): w for x, w in soft.items() if x and lower_ascii(x) not in self.strict}
+
+class Vocabulary:
+    """terms: (term, strict, weight, host). Of rows for one term the strict one counts, then the heaviest; case of ASCII letters doesn't matter, and empty terms don't."""
+
+    def __init__(self, terms=TERMS, limit: float = SOFT_LIMIT):
+        self.terms: dict[str, tuple[bool, float, bool]] = {}
+        for term, strict, weight, host in terms:
+            if term:
+                term = lower_ascii(term)
+                self.terms[term] = max(self.terms.get(term, (False, 0.0, False)), (bool(strict), float(weight), bool(host)))
         self.limit = limit
         self.automaton = ahocorasick.Automaton()
-        for x in sorted(self.strict | set(self.soft)):
+        for x in sorted(self.terms):
             self.automaton.add_word(x, x)
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def judge(self, url: str | None) -> tuple[int, int, int, str, bool]:
+    def judge(self, url: str | None) -> tuple[int, int, float, str, bool]:
         """(distinct strict terms, distinct soft terms, their weight, the terms, reject)."""
         found = set()
-        text = lower_ascii(url or "")
-        for end, term in self.automaton.iter(text) if len(self.automaton) else ():
-            start = end + 1 - len(term)
-            if start and _joined(text[start - 1], term[0]):
-                continue
-            if end + 1 < len(text) and _joined(term[-1], text[end + 1]):
-                continue
-            found.add(term)
-        strict, soft = found & self.strict, found & set(self.soft)
-        weight = sum(self.soft[x] for x in soft)
-        return len(strict), len(soft), weight, " ".join(sorted(found)), bool(strict) or weight >= self.limit
-
-
-def filter_urls(pages: DataFrame, vocabulary: Vocabulary | None = None, column: str = "url") -> DataFrame:
-    """pages, all columns as they are, and ``_verdict``: struct of the counts of distinct terms, the terms and reject.
-
-    A null or empty URL has no hits and isn't rejected. Rows that repeat give equal verdicts.
+        text = lower_ascii(unquote(url or "", errors="replace"))
+        lo, hi = host_of(text)
+        for at, term in self.automaton.iter(text) if len(self.automaton) else ():
+            start, end = at + 1 - len(term), at + 1
+            bounds = not (start and _joined(text[start - 1], term[0])), not (end < len(text) and _joined(term[-1], text[end]))
+            in_host = self.terms[term][2] and lo <= start and end <= hi
+            if all(bounds) or in_host and (start == lo or text[start - 1] == "." or end == hi or text[end] == "."):
+                found.add(term)
+        strict = {x for x in found if self.terms[x][0]}
+        soft = found - strict
+        weight = sum(self.terms[x][1] for x in sorted(soft))
+        return len(strict), len(soft), float(weight), " ".join(sorted(found)), bool(strict) or len(soft) >= SEVERAL and weight >= self.limit
+
+
+@lru_cache(maxsize=4)
+def _vocabulary(terms: tuple, limit: float) -> Vocabulary:
+    """One automaton a worker."""
+    return Vocabulary(terms, limit)
+
+
+def terms_of(table: DataFrame) -> tuple:
+    """The rows of a table (term, strict, weight, host), which must be few, as a vocabulary is."""
+    return tuple(map(tuple, table.select("term", "strict", "weight", "host").collect()))
+
+
+def filter_urls(pages: DataFrame, terms: tuple = TERMS, limit: float = SOFT_LIMIT, column: str = "url") -> DataFrame:
+    """pages, all columns as they are, and ``_verdict``, which replaces such a column: struct of the counts of distinct terms, their weight, the terms and reject.
+
+    A null or empty URL has no hits and isn't rejected. Rows that repeat give equal verdicts. URLs of any
+    length are read whole. ``%XX`` is decoded once; bytes that are no UTF-8 become U+FFFD.
     """
-    words = vocabulary or Vocabulary()
-    given = (sorted(words.strict), words.soft, words.limit)
+    given = tuple(map(tuple, terms))
 
     @F.pandas_udf(_SCHEMA)
     def verdict(urls: pd.Series) -> pd.DataFrame:
-        v = Vocabulary(*given)
+        v = _vocabulary(given, limit)
         return pd.DataFrame([v.judge(None if x is None or x != x else x) for x in urls], columns=["strict_hits", "soft_hits", "soft_weight", "terms", "reject"])
 
     return pages.withColumn("_verdict", verdict(F.col(column)))
@@ -83,24 +114,25 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms_sql() -> str:
-    rows = [f"('{x}', 1, 0)" for x in STRICT] + [f"('{x}', 0, {w})" for x, w in SOFT.items()]
-    return ", ".join(rows)
+    return ", ".join(f"('{t}', {int(s)}, {w}, {str(h).lower()})" for t, s, w, h in TERMS)
 
 
 QUERIES = {"op7_url_filter": op7_url_filter}
 ORACLES = {
     "op7_url_filter": rf"""
-with terms(term, strict, weight) as (values {_terms_sql()}),
+with terms(term, strict, weight, host) as (values {_terms_sql()}),
+urls as (select distinct page_id, lower(url_decode(url)) as u from pages),
+places as (select *, coalesce(regexp_extract(u, '//([^/?#:]*)', 1), '') as at from urls),
 hits as (
-  select p.page_id, t.* from (select distinct page_id, lower(url) as u from pages) p join terms t
-  on regexp_matches(u, '(^|[^a-z])' || term || '($|[^a-z])')
+  select p.page_id, t.* from places p join terms t
+  on regexp_matches(u, '(^|[^a-z])' || term || '($|[^a-z])') or (host and regexp_matches(at, '(^|[.])' || term || '|' || term || '([.]|$)'))
 )
 select page_id, url,
   cast(coalesce(sum(strict), 0) as integer) as strict_hits,
   cast(coalesce(sum(1 - strict), 0) as integer) as soft_hits,
-  cast(coalesce(sum(weight), 0) as integer) as soft_weight,
+  cast(coalesce(sum(weight), 0) as double) as soft_weight,
   coalesce(string_agg(term, ' ' order by term), '') as terms,
-  coalesce(sum(strict), 0) > 0 or coalesce(sum(weight), 0) >= {SOFT_LIMIT} as reject
+  coalesce(sum(strict), 0) > 0 or (coalesce(sum(1 - strict), 0) >= {SEVERAL} and coalesce(sum(weight), 0) >= {SOFT_LIMIT}) as reject
 from pages left join hits using (page_id)
 group by page_id, url
 """

@@ -48,6 +48,14 @@ def test_long_and_empty_conversations(turns, spark):
         ("http://FREE-Sex.com/", "free free-sex sex", True),
         ("http://a.com/free/free/free", "free", False),
         ("http://a.com/free_poker", "free poker", True),
+        ("http://a.com/free/download", "download free", False),
+        ("http://a.com/erotic", "erotic", False),
+        ("http://a.com/%70orn%2Fx", "porn", True),
+        ("http://x.com/%ff%zz%", "", False),
+        ("http://pornhub.com/a", "porn", True),
+        ("http://www.cheapviagra.com", "viagra", True),
+        ("http://milford.com/a/pornhub", "", False),
+        ("http://a.xporny.com", "", False),
         ("http://a.com/freepoker", "", False),
         ("http://spam-farm.example.org/en", "farm spam spam-farm", True),
         ("http://farming.org/classic", "", False),
@@ -66,5 +74,17 @@ def test_url_frames(spark):
     assert got.columns == [*pages.columns, "_verdict"]
     assert [r._verdict.reject for r in got.orderBy("page_id").collect()] == [True, True, False, False]
     assert urls.filter_urls(pages.limit(0)).count() == 0
-    assert urls.Vocabulary((), {}).judge("http://porn.com") == (0, 0, 0, "", False)
-    assert urls.Vocabulary(("a1",), {"A1": 3, "b": 5}, 5).judge("x/A1/12-b")[:3] == (1, 1, 5)
+    again = urls.filter_urls(got)
+    assert again.columns == got.columns and again.count() == 4
+    assert urls.Vocabulary(()).judge("http://porn.com") == (0, 0, 0.0, "", False)
+    table = spark.createDataFrame([("a1", True, 0.0, False), ("A1", False, 3.0, False), ("b", False, 2.5, False), ("c", False, 2.5, False), ("", True, 0.0, False)], "term string, strict boolean, weight double, host boolean")
+    v = urls.Vocabulary(urls.terms_of(table), 5)
+    assert v.judge("x/A1/12-b")[:3] == (1, 1, 2.5) and v.judge("b/c")[4] and not v.judge("b/b")[4]
+
+
+def test_precision_and_recall_on_labelled_urls():
+    bad = "http://pornhub.example/v http://www.best-casino.example/win http://x.example/escort-service http://x.example/free_poker/bonus http://free.example/sex/dating http://x.example/online-betting-jackpot http://viagra-shop.example/ http://x.example/warez/keygen http://hentai.example/ https://x.example/p?q=xxx http://loans.example/payday http://x.example/%63asino".split()
+    good = "http://sussex.example/adult-education http://x.example/free/download http://x.example/credit/discount http://x.example/sports/win http://farm.example/eggs http://x.example/dating http://milford.example/ http://x.example/specialist http://essexpoker.example/news http://x.example/hack-week http://x.example/how-to-win-friends http://x.example/bonus-track http://cheap.example/flights".split()
+    v = urls.Vocabulary()
+    hits = [u for u in bad + good if v.judge(u)[4]]
+    assert sum(u in bad for u in hits) / len(hits) >= 0.95 and sum(u in bad for u in hits) / len(bad) >= 0.95
