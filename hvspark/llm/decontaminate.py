@@ -21,8 +21,8 @@ that a name or number may be longer in the document.
 Each window is hashed twice: as this template, where at least half of it are words proper, and with
 names as words, case folded, which finds copies whose case was changed. An item is leaked to a
 document if an alignment with consistent slots covers MIN_TOKENS of its words or MIN_COVERAGE of
-them, or of its units. An item of fewer than WINDOW words is one window; one of fewer than LEAST words is no
-evidence and is left out.
+them, or of its units. An item of fewer than WINDOW words is one window. One of fewer than LEAST words has
+no template to speak of: it is leaked where its very words, numbers and all, stand side by side.
 """
 
 from __future__ import annotations
@@ -126,6 +126,9 @@ def windows_of(x: Template, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if len(t.hash) < n:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     at = np.flatnonzero(t.row[: len(t.row) - n + 1] == t.row[n - 1 :])
+    if n < LEAST:
+        exact = window_hashes(t.hash, n)[at] + np.uint64(n)
+        return at, exact, exact
     plain = window_hashes(x.plain, n)[at] + np.uint64(n)
     words = np.concatenate([[0], np.cumsum(x.kind == WORD)])
     proper = 2 * (words[at + n] - words[at]) >= n
@@ -143,7 +146,7 @@ def _items(batches):
             words = template(data, offsets)
             for unit, x in enumerate((words, collapsed(words))):
                 size = np.diff(x.tokens.first)
-                for n in sorted({min(WINDOW, s) for s in size.tolist() if s >= LEAST}):
+                for n in sorted({min(WINDOW, s) for s in size.tolist() if s >= (LEAST if unit else 1)}):
                     at, full, plain = windows_of(x, n)
                     row = x.tokens.row[at]
                     mine = np.flatnonzero(np.minimum(size[row], WINDOW) == n)
@@ -186,7 +189,12 @@ def _documents(lengths: list[int], known):
                 words = template(data, offsets)
                 for unit, x in enumerate((words, collapsed(words))):
                     for n in lengths:
+                        if unit and n < LEAST:
+                            continue
                         at, full, plain = windows_of(x, n)
+                        if n < LEAST:  # one place a text is enough
+                            once = np.unique(np.stack([x.tokens.row[at].astype(np.uint64), full]), axis=1, return_index=True)[1] if len(at) else at
+                            at, full, plain = at[once], full[once], plain[once]
                         for h, some in ((full, np.ones(len(at), np.bool_)), (plain, plain != full)):
                             hit = np.flatnonzero(some & known.value.of(h) if known else some)
                             if len(hit):
@@ -295,7 +303,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
     distinct = items.select("window").distinct()
     known = None
     if distinct.count() * 8 <= broadcast_bytes:
-        known = spark.sparkContext.broadcast(_Known(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)))
+        known = spark.sparkContext.broadcast(_Known(distinct.toArrow()["window"].to_numpy().view(np.uint64)))
     rows = docs.select(F.col("doc_id").cast("bigint"), row_key("doc_id", "text").alias("key"), "text")
     hits = rows.mapInArrow(_documents(lengths, known), f"unit int, window bigint, doc_id bigint, key {KEY}, pos bigint, raw array<bigint>")
     aligned = hits.join(items, ["unit", "window"]).groupBy("doc_id", "key", "item_id", "item_size", "unit").agg(F.collect_set(F.struct("pos", "item_pos", "kinds", "item_raw", "raw")).alias("hits"))
@@ -305,7 +313,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, to which no item is leaked."""
+    """The rows of docs, all columns as they are, whatever their names, to which no item is leaked.
+
+    Null and empty texts stay, and all rows where the benchmark is empty; rows that repeat stay or go together.
+    """
     bad = leaks(docs, benchmark).select("key").distinct()
     return keyed(docs).join(broadcast_if_small(bad, 32), "key", "left_anti").select("row.*")
 

@@ -40,6 +40,9 @@ def plain_leaks(docs, items):
         for j, item in items:
             t = plain_template(item)
             if len(t) < D.LEAST:
+                said, wanted = [w for _, w in d], [w for _, w in t]
+                if t and any(said[p : p + len(t)] == wanted for p in range(len(d))):
+                    out.add((i, j))
                 continue
             n = min(D.WINDOW, len(t))
             for diagonal in range(-len(t) + n, len(d) - n + 1):
@@ -65,13 +68,15 @@ def frames(spark):
 
     docs = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet' where length(text) < 900 order by doc_id limit 10").fetchall()
     items = duckdb.sql("select item_id, text from '/root/testdata/sf0.001/benchmark.parquet' order by item_id limit 8").fetchall()
-    items.append((100, ITEM))
+    items += [(100, ITEM), (101, "What is two plus"), (102, "7 apples"), (103, "zebra")]
     docs += [
         (900, "We asked: Mary has 7 apples and buys 12 more apples from Peter. How many apples does Mary have now? Yes."),
         (901, "so Mary has 7 apples and buys 12 more apples from Peter. How many apples does Anna have now?"),  # John became two people
         (902, "so Ann has 7 apples and buys 3 more apples from Ann. How many apples does Ann have now?"),  # two became one
         (903, ITEM.upper()),
         (904, "five apples, three pears"),
+        (906, "Now: what is two plus three? What is TWO plus two"),
+        (907, "what is three plus"),
         (905, f"{items[3][1]} and {items[7][1]}"),
     ]
     return docs, items
@@ -98,7 +103,9 @@ def test_clean_documents_stay(spark, frames):
 def test_short_items_are_one_window(spark):
     d = spark.createDataFrame([(1, "he said that water boils at 90 degrees here"), (2, "water boils")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "Water boils at 100 degrees"), (2, "water boils at"), (3, None), (4, ""), (None, "said that water boils at")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id, r.changed) for r in D.leaks(d, b).collect()} == {(1, 1, 1), (1, None, 0)}
+    assert {(r.doc_id, r.item_id, r.changed) for r in D.leaks(d, b).collect()} == {(1, 1, 1), (1, 2, 0), (1, None, 0)}
+    d = spark.createDataFrame([(3, "the water boils at once"), (3, "water boils")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in D.leaks(d, b).collect()} == {(3, 2, 1.0)}
 
 
 def _found(spark, doc, item):
