@@ -7,13 +7,20 @@ matches; matches in the order of a template, with at most MAX_GAP other words be
 are chained, and a chain that covers MIN_COVERAGE of the template's words is a span, unless it lies within
 another that covers more words.
 
+Templates are notices, given here, and whole texts: each file of a folder, read on the driver, is a template.
+LICENCES_FOLDER is where Linux systems keep the most common ones; any other can be given, or a list of
+templates.
+
 A match of MIN_MATCH words starts with a trigram of some template, so only runs of such trigrams,
 which array steps find, are streamed: what remains outside of them can't be part of any match.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +33,7 @@ from hvspark.llm.tokens import Tokens, blocks, tokenize, utf8, window_hashes
 MIN_MATCH = 3  #: words; also the length of the windows that start a stream
 MAX_GAP = 8
 MIN_COVERAGE = 0.75
+LICENCES_FOLDER = "/usr/share/common-licenses"
 
 #: (template, licence, its words); pieces of a longer text are joined by blanks.
 TEMPLATES = (
@@ -70,7 +78,7 @@ class Automaton:
         for state, s, i in marks:
             ends[state][s].add(i)
         for state in sorted(range(1, len(self.next)), key=lambda x: -self.length[x]):
-            if self.link[state] > 0:
+            if self.link[state] > 0 and self.length[self.link[state]] >= MIN_MATCH:  # shorter ones are never asked
                 for s, places in ends[state].items():
                     ends[self.link[state]][s] |= places
         self.ends = [{s: sorted(p) for s, p in e.items()} for e in ends]
@@ -123,31 +131,96 @@ class Automaton:
         return out
 
 
+def whole_texts(folder: str = LICENCES_FOLDER) -> tuple:
+    """Templates from the files of a folder, by name; of files with the same text the one with the longest name."""
+    texts: dict[str, str] = {}
+    for f in sorted((x for x in Path(folder).glob("*") if x.is_file()), key=lambda x: (len(x.name), x.name)):
+        texts[f.read_text(errors="replace")] = f.name
+    return tuple((f"{name.lower()}-text", name, (text,)) for text, name in sorted(texts.items(), key=lambda x: x[1]))
+
+
+def best_chains(matches: list[tuple[int, int, list[int]]], size: int) -> list[tuple[int, int, int]]:
+    """(covered, first word, end) of the best chain that ends with each match.
+
+    A match is chained only to matches that end no more than MAX_GAP words before it begins, so
+    only these are looked at: the time grows with the matches, not with their square.
+    """
+    best: list[tuple[int, int, int, int]] = []  # covered, first word, end, end in the template
+    ends: list[int] = []
+    out = []
+    for end, length, places in matches:
+        near = bisect_left(ends, end - length - MAX_GAP)
+        here = []
+        for place in places:
+            top = (length, end - length)
+            for covered, first, before, at in best[near:]:
+                gain = min(length, end - before, place - at)  # without what overlaps
+                if gain > 0 and end - gain - before <= MAX_GAP:
+                    top = max(top, (covered + gain, first), key=lambda x: (x[0], -x[1]))
+            here.append((*top, end, place))
+        best += here
+        ends += [end] * len(here)
+        out.append(max(((c, f, e) for c, f, e, _ in here), key=lambda x: (x[0], -x[1])))
+    return out
+
+
 def chains(matches: list[tuple[int, int, list[int]]], size: int) -> list[tuple[int, int, int]]:
     """(first word, end, covered words) of a template's spans; matches: (end, length, ends in the template) by end.
 
     Of all chains the one that covers most is taken, the first among equals, then the best of what
-    lies outside of it, and so on, as long as MIN_COVERAGE is reached.
+    lies outside of it, and so on, as long as MIN_COVERAGE is reached. Chains that no better one
+    overlaps don't wait for each other, so a few rounds do for any number of spans.
     """
-    out = []
-    while matches:
-        best: list[tuple[int, int, int, int]] = []  # covered, first word, end, end in the template
-        for end, length, places in matches:
-            for place in places:
-                top = (length, end - length)
-                for covered, first, before, at in best:
-                    gain = min(length, end - before, place - at)  # without what overlaps
-                    if gain > 0 and end - gain - before <= MAX_GAP and place - gain - at <= size:
-                        top = max(top, (covered + gain, first), key=lambda x: (x[0], -x[1]))
-                best.append((*top, end, place))
-        covered, first, end, _ = max(best, key=lambda x: (x[0], -x[1], -x[2]))
-        if covered < MIN_COVERAGE * size:
+    out: list[tuple[int, int, int]] = []
+    while matches and sum(n for _, n, _ in matches) >= MIN_COVERAGE * size:
+        found = sorted((c for c in set(best_chains(matches, size)) if c[0] >= MIN_COVERAGE * size), key=lambda x: (-x[0], x[1], x[2]))
+        if not found:
             break
-        out.append((first, end, covered))
-        matches = [m for m in matches if m[0] <= first or m[0] - m[1] >= end]
+        low = min(f for _, f, _ in found)
+        claimed = np.zeros(max(e for _, _, e in found) - low, np.bool_)
+        taken = np.zeros(len(claimed), np.bool_)
+        for covered, first, end in found:
+            if not claimed[first - low : end - low].any():
+                out.append((first, end, covered))
+                taken[first - low : end - low] = True
+            claimed[first - low : end - low] = True
+        run = np.concatenate([[0], np.cumsum(taken)])
+        at = lambda x: run[min(max(x - low, 0), len(taken))]
+        matches = [m for m in matches if at(m[0]) == at(m[0] - m[1])]
     return sorted(out)
 
 
+def outermost(spans: list[tuple[int, int, int]]) -> list[bool]:
+    """Of (first, end, covered), which lie within no other that covers more words.
+
+    By first word, long ones first; a Fenwick tree over the ends holds the most that any span to
+    the left covers and that ends no earlier.
+    """
+    ends = sorted({e for _, e, _ in spans}, reverse=True)
+    place = {e: i + 1 for i, e in enumerate(ends)}
+    most = [0] * (len(ends) + 1)
+    out = [True] * len(spans)
+    order = sorted(range(len(spans)), key=lambda i: (spans[i][0], -spans[i][1], -spans[i][2]))
+    for i in order:  # of equal ones in place, those that cover more come first
+        _, end, covered = spans[i]
+        k, top = place[end], 0
+        while k:
+            top = max(top, most[k])
+            k -= k & -k
+        out[i] = top <= covered
+        k = place[end]
+        while k < len(most):
+            most[k] = max(most[k], covered)
+            k += k & -k
+    return out
+
+
+@lru_cache(maxsize=2)
+def _library(templates: tuple) -> Library:
+    """One automaton a worker."""
+    return Library(templates)
+
+
 class Library:
     def __init__(self, templates=TEMPLATES):
         self.names = [(name, licence) for name, licence, _ in templates]
@@ -188,7 +261,8 @@ class Library:
         by_row = defaultdict(list)
         for span in spans:
             by_row[span[0]].append(span)
-        return [x for x in spans if not any(y[4] > x[4] and y[2] <= x[2] and x[3] <= y[3] for y in by_row[x[0]])]
+        kept = (x for own in by_row.values() for x, stays in zip(own, outermost([y[2:] for y in own])) if stays)
+        return sorted(kept)
 
 
 _SCHEMA = "doc_id bigint, template string, licence string, first_word bigint, end_word bigint, first_byte bigint, end_byte bigint, covered int, coverage double"
@@ -198,11 +272,15 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, template, licence, span in words and bytes, covered, coverage): a row for each span.
 
     Spans of several templates may overlap. Null and empty texts have none; rows that repeat give
-    rows that repeat; a template of fewer than MIN_MATCH words is never found.
+    rows that repeat; a null doc_id stays one; a template of fewer than MIN_MATCH words is never found.
+    Texts of any length are read whole, in time that grows with their matches. Other columns of
+    docs don't matter, whatever their names.
     """
+    given = tuple((name, licence, tuple(parts)) for name, licence, parts in templates)
+    shared = docs.sparkSession.sparkContext.broadcast(given)
 
     def run(batches):
-        library = Library(templates)
+        library = _library(shared.value)
         for b in batches:
             for lo, _, data, offsets in blocks(b.column(1)):
                 t = tokenize(data, offsets)
@@ -219,7 +297,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(load(spark, sf_dir, "documents"))
+    return scan(load(spark, sf_dir, "documents"), TEMPLATES + whole_texts())
 
 
 QUERIES = {"op10_license_scan": op10_license_scan}

@@ -74,6 +74,82 @@ def test_changed_words_within_a_template_are_bridged():
     assert spans("Permission is hereby granted and nothing else.") == []
 
 
+def plain_chains(matches, size):
+    """The definition: of all chains the best, then the best of what lies outside of it, and so on."""
+    out = []
+    while matches:
+        best = []
+        for end, length, places in matches:
+            for place in places:
+                top = (length, end - length)
+                for covered, first, before, at in best:
+                    gain = min(length, end - before, place - at)
+                    if gain > 0 and end - gain - before <= L.MAX_GAP:
+                        top = max(top, (covered + gain, first), key=lambda x: (x[0], -x[1]))
+                best.append((*top, end, place))
+        covered, first, end, _ = max(best, key=lambda x: (x[0], -x[1], -x[2]))
+        if covered < L.MIN_COVERAGE * size:
+            break
+        out.append((first, end, covered))
+        matches = [m for m in matches if m[0] <= first or m[0] - m[1] >= end]
+    return sorted(out)
+
+
+def plain_spans(text, templates):
+    """Spans from statistics by a plain search, chains by definition, and all pairs of spans compared."""
+    said = words(text)
+    sequences = [words(" ".join(p)) for _, _, p in templates]
+    stats = plain_statistics(said, sequences)
+    out = []
+    for k, (name, _, _) in enumerate(templates):
+        s = sequences[k]
+        matches = []
+        for i, here in enumerate(stats):
+            n = here.get(k, 0)
+            if n and (i + 1 == len(stats) or stats[i + 1].get(k, 0) != n + 1):
+                matches.append((i + 1, n, [e for e in range(n, len(s) + 1) if s[e - n : e] == said[i + 1 - n : i + 1]]))
+        out += [(name, *x) for x in plain_chains(matches, len(s))]
+    return sorted(x for x in out if not any(y[3] > x[3] and y[1] <= x[1] and x[2] <= y[2] for y in out))
+
+
+def test_spans_equal_the_plain_version():
+    rng = random.Random(7)
+    for n in range(60):
+        vocabulary = [f"w{i}" for i in range(rng.choice([4, 8, 40]))]
+        templates = [(f"t{k}", "x", (" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 15))),)) for k in range(5)]
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            own = words(rng.choice(templates)[2][0])
+            parts += [w if rng.random() > 0.08 else "other" for w in own] + ["so"] * rng.choice([0, 0, 1, 4, 12])
+        text = " ".join(parts)
+        assert sorted(spans(text, templates)) == plain_spans(text, templates), n
+
+
+def test_the_time_for_many_licences_in_a_text_is_in_proportion():
+    import time
+
+    grant = " ".join(" ".join(p) for n, _, p in L.TEMPLATES if n in ("mit-grant", "mit-warranty")) + "\n"
+    took = []
+    for size in (1 << 17, 1 << 20):
+        start = time.process_time()
+        found = spans(grant * (size // len(grant)))
+        took.append(time.process_time() - start)
+        assert len(found) == 2 * (size // len(grant))
+    assert took[1] < 20 * took[0]
+
+
+def test_whole_texts_are_templates(tmp_path):
+    (tmp_path / "A-1").write_text("one two three four five six seven")
+    (tmp_path / "A").write_text("one two three four five six seven")
+    (tmp_path / "B").write_bytes(b"ten nine \xff eight seven six five")
+    assert [x[:2] for x in L.whole_texts(str(tmp_path))] == [("a-1-text", "A-1"), ("b-text", "B")]
+    assert L.whole_texts(str(tmp_path / "nowhere")) == ()
+    given = L.TEMPLATES + L.whole_texts()
+    for name, _, (text,) in L.whole_texts():
+        found = spans(f"Our notes.\n{text}\nAnd our own words after it.", given)
+        assert name in {n for n, *_ in found} and all(n in (name, *(x for x, _, _ in L.TEMPLATES)) for n, *_ in found if n != name), (name, found)
+
+
 def test_two_of_a_kind_and_nested():
     assert [x[:3] for x in spans("Released under the MIT License, released under the MIT License.")] == [("mit-notice", 0, 5), ("mit-notice", 5, 10)]
 
