@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is grown level by level over all vectors: each node is split into BRANCHES by k-means, whose
-sums are taken where the vectors are, until a node has at most LEAF of them. A search keeps the
-branches not yet taken in a priority queue, by distance to their centres, and opens the nearest one
-again and again, until it has visited as many leaves as it may. How many that are is calibrated: for a sample of queries
-the exact neighbours are computed, and visits are widened until the recall of these queries
+The tree is fitted on a sample of FIT_ROWS vectors, about, chosen by a hash (all of them where there are
+fewer): each node is split into BRANCHES by k-means until it has at most LEAF of the sample. Then every
+vector is indexed: it goes to the leaf that the nearest children lead to. A search keeps the branches not
+yet taken in a priority queue, by distance to their centres, and opens the nearest one
+again and again, until it has visited as many leaves as it may. How many that are is calibrated: for a sample of
+vectors the exact neighbours among all are computed, and visits are widened until their recall
 reaches RECALL.
 
-Each vector is a query. It is sent to the leaves it visits, meets the vectors there, and its best
-of all leaves are merged; no leaf is on more than one machine, and none needs them all.
+A query is sent to the leaves it visits, meets the vectors there, and its best of all leaves are merged.
+The tree's size is bounded by the sample, so leaves grow with the data: the vectors of a leaf, and the
+queries that visit it, are cut into blocks of BLOCK_ROWS, and each two of these meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from hvspark.llm.frames import checkpointed, load
 
 NEIGHBOURS = 10
 BRANCHES = 8
-LEAF = 1024
-ROUNDS = 4  #: of k-means a level
+LEAF = 256  #: vectors of the sample
+FIT_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
+ROUNDS = 8  #: of k-means a level
 RECALL = 0.95
-SAMPLE = 256  #: queries for calibration
+SAMPLE = 256  #: vectors for calibration, about
 CHUNK = 1 << 20  #: distances computed at a time
-TREE_BYTES = 256 << 20  #: bound on the centres, which every task holds
+EACH = 100  #: the query's vectors are those whose id this divides
 
 
 @dataclass
@@ -92,81 +96,48 @@ def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") ->
     return rows.where(F.size("v") == dim), dim
 
 
-def _tree_parts(shared, dim: int, seeds: bool):
-    """Per node: the number and sums of its vectors, or a few of them, those of least hash, as seeds."""
-
-    def run(batches):
-        tree, growing = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1), dim)
-            node = tree.descend(x)
-            if seeds:
-                h = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-                order = np.lexsort((h, node))
-                first = np.searchsorted(node[order], node[order])
-                keep = order[np.arange(len(order)) - first < 4 * BRANCHES]
-                keep = keep[np.isin(node[keep], growing)]
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(h[keep].astype(np.int64)), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["node", "n", "data"])
-            else:
-                nodes, of = np.unique(node, return_inverse=True)
-                sums = np.zeros((len(nodes), dim))
-                np.add.at(sums, of, x)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(of).astype(np.int64)), pa.array([r.tobytes() for r in sums], pa.binary())], ["node", "n", "data"])
-
-    return run
-
-
-def _sum_parts(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x) for x in t["data"].to_pylist()], 0)
-    return pa.table({"node": t["node"][:1], "n": [sum(t["n"].to_pylist())], "data": pa.array([total.tobytes()], pa.binary())})
-
-
-def _seed_parts(t: pa.Table) -> pa.Table:
-    """The seeds of least hash, spread by always taking the one farthest from those taken."""
-    order = np.lexsort((t["data"].to_numpy(zero_copy_only=False).astype("S"), t["n"].to_numpy()))[: 4 * BRANCHES]
-    x = np.unique(np.stack([np.frombuffer(t["data"][int(i)].as_py()) for i in order]), axis=0)
-    chosen = [0]
-    while len(chosen) < min(BRANCHES, len(x)):
-        d = ((x[:, None, :] - x[None, chosen, :]) ** 2).sum(2).min(1)
-        chosen.append(int(np.argmax(d)))
-    return pa.table({"node": pa.array([t["node"][0].as_py()] * len(chosen), pa.int64()), "n": pa.array(range(len(chosen)), pa.int64()), "data": pa.array([x[i].tobytes() for i in chosen], pa.binary())})
-
-
-_PARTS = "node bigint, n bigint, data binary"
-
-
-def grow(rows: DataFrame, dim: int, leaf: int = LEAF) -> Tree:
-    """The tree over all rows (id, v). A node whose vectors are all equal, or nearly so that k-means doesn't part them, stays a leaf."""
-    spark = rows.sparkSession
-    tree = Tree(np.zeros((1, dim)), [[]], dim)
-    grown = {0} if rows.limit(1).count() else set()
-    sizes = {0: rows.count()}
-    while growing := sorted(n for n in grown if sizes.get(n, 0) > leaf):
-        shared = spark.sparkContext.broadcast((tree, np.array(growing)))
-        seeds = rows.mapInArrow(_tree_parts(shared, dim, True), _PARTS).groupBy("node").applyInArrow(_seed_parts, _PARTS)
-        found: dict[int, list[np.ndarray]] = {}
-        for r in seeds.orderBy("node", "n").collect():
-            found.setdefault(r["node"], []).append(np.frombuffer(bytes(r["data"])))
-        grown = set()
-        for n, centres in found.items():
-            if len(centres) > 1:
-                tree.children[n] = list(range(len(tree.children), len(tree.children) + len(centres)))
-                tree.children += [[] for _ in centres]
-                tree.centres = np.concatenate([tree.centres, np.stack(centres)])
-                grown |= set(tree.children[n])
-        if tree.centres.nbytes > TREE_BYTES:
-            raise ValueError("the tree is larger than TREE_BYTES; use a larger leaf")
+def sampled(rows: DataFrame, n: int, total: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of about n of the rows (id, v), of which there are ``total``, by a hash; all of them where there are no more."""
+    share = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, n / max(1, total)))
+    t = rows.where(share).select("id", "v").toArrow()
+    if not t.num_rows:
+        return np.empty(0, np.int64), np.empty((0, 0))
+    ids = t["id"].to_numpy()
+    x = np.asarray(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
+    order = np.argsort(ids)
+    return ids[order], x[order]
+
+
+def grow(x: np.ndarray, leaf: int = LEAF) -> Tree:
+    """The tree over the rows of x. A node whose vectors k-means doesn't part, as where all are equal, stays a leaf."""
+    dim = x.shape[1] if len(x) else 0
+    centres, children, todo = [np.zeros(dim)], [[]], [(0, np.arange(len(x)))]
+    while todo:
+        node, own = todo.pop()
+        if len(own) <= leaf:
+            continue
+        seeds = np.unique(x[own[:: max(1, len(own) // (4 * BRANCHES))]], axis=0)
+        chosen = [0]  # spread, by always taking the one farthest from those taken
+        far = ((seeds - seeds[0]) ** 2).sum(1)
+        while len(chosen) < min(BRANCHES, len(seeds)) and far.max() > 0:
+            chosen.append(int(np.argmax(far)))
+            far = np.minimum(far, ((seeds - seeds[chosen[-1]]) ** 2).sum(1))
+        middle = seeds[chosen]
         for _ in range(ROUNDS):
-            shared = spark.sparkContext.broadcast((tree, None))
-            sums = rows.mapInArrow(_tree_parts(shared, dim, False), _PARTS).groupBy("node").applyInArrow(_sum_parts, _PARTS).collect()
-            sizes = {r["node"]: r["n"] for r in sums}
-            tree = Tree(tree.centres.copy(), tree.children, dim)
-            for r in sums:
-                if r["node"] in grown:
-                    tree.centres[r["node"]] = np.frombuffer(bytes(r["data"])) / r["n"]
-    return tree
+            of = nearest(x[own], middle)
+            n = np.bincount(of, minlength=len(middle))
+            sums = np.zeros_like(middle)
+            np.add.at(sums, of, x[own])
+            middle = sums[n > 0] / n[n > 0, None]
+        of = nearest(x[own], middle)
+        parts = [own[of == i] for i in range(len(middle))]
+        if max(map(len, parts)) == len(own):
+            continue
+        children[node] = list(range(len(centres), len(centres) + len(parts)))
+        todo += list(zip(children[node], parts))
+        centres += list(middle)
+        children += [[] for _ in parts]
+    return Tree(np.stack(centres), children, dim)
 
 
 def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,22 +179,20 @@ def _top(k: int):
     return run
 
 
-def calibrate(rows: DataFrame, tree: Tree, k: int, recall: float = RECALL, sample: int = SAMPLE) -> int:
-    """Leaves to visit, so that the sample's neighbours are found with the given recall.
+def calibrate(rows: DataFrame, tree: Tree, k: int, total: int, recall: float = RECALL, sample: int = SAMPLE) -> int:
+    """Leaves to visit, so that the sample's neighbours among all rows are found with the given recall.
 
-    A neighbour counts as found if its leaf is visited. The sample is that of least hashes.
+    A neighbour counts as found if its leaf is visited.
     """
     spark = rows.sparkSession
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not chosen:
+    ids, q = sampled(rows, sample, total, 2)
+    if not len(ids):
         return 1
-    ids = np.array([r["id"] for r in chosen])
-    q = np.array([r["v"] for r in chosen])
     shared = spark.sparkContext.broadcast((ids, q))
     schema = "id bigint, neighbour bigint, d double"
     truth = rows.mapInArrow(_exact(shared, tree.dim, k), schema).groupBy("id").applyInArrow(_top(k), schema)
     found = truth.join(rows.withColumnRenamed("id", "neighbour"), "neighbour").select("id", "v").collect()
-    leaf = tree.descend(np.array([r["v"] for r in found])) if found else []
+    leaf = tree.descend(np.array([r["v"] for r in found], np.float64)) if found else []
     wanted: dict[int, list[int]] = {}
     for r, x in zip(found, leaf):
         wanted.setdefault(r["id"], []).append(int(x))
@@ -233,31 +202,31 @@ def calibrate(rows: DataFrame, tree: Tree, k: int, recall: float = RECALL, sampl
     return int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1 if len(ranks) else 1
 
 
-def _routes(shared, dim: int, visits: int):
+def _leaves(shared, dim: int, visits: int | None):
+    """(leaf, id, v): the leaf of each vector, or the first ``visits`` leaves of a search for it."""
+
     def run(batches):
         tree = shared.value
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1), dim)
-                home = tree.descend(x)
-                where = [tree.visits(r, visits) for r in x]
-                n = np.array([len(w) for w in where])
-                at = pa.array(np.repeat(np.arange(len(x)), n))
-                leaf = np.concatenate(where)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(leaf == home[at.to_numpy()])], ["leaf", "id", "v", "home"])
+                where = [[n] for n in tree.descend(x).tolist()] if visits is None else [tree.visits(r, visits) for r in x]
+                at = pa.array(np.repeat(np.arange(len(x)), [len(w) for w in where]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where).astype(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["leaf", "id", "v"])
 
     return run
 
 
 def _meet(dim: int, k: int):
-    def run(t: pa.Table) -> pa.Table:
-        ids, x, home = t["id"].to_numpy(), _matrix(t["v"].combine_chunks(), dim), t["home"].to_numpy()
-        own = np.flatnonzero(home)
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for lo in range(0, len(ids), step := max(1, CHUNK // max(1, len(own)))) if len(own) else ():
-            i, j, far = best_of(x[lo : lo + step], ids[lo : lo + step], x[own], ids[own], k)
-            out.append((ids[lo : lo + step][i], ids[own][j], far))
-        a, b, d = (np.concatenate(z) for z in zip(*out))  # of one query side by side
+    def run(asked: pa.Table, t: pa.Table) -> pa.Table:
+        a, b, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if asked.num_rows and t.num_rows:
+            q_ids, q, ids, x = asked["id"].to_numpy(), _matrix(asked["v"].combine_chunks(), dim), t["id"].to_numpy(), _matrix(t["v"].combine_chunks(), dim)
+            out = []
+            for lo in range(0, len(q_ids), step := max(1, CHUNK // len(ids))):
+                i, j, far = best_of(q[lo : lo + step], q_ids[lo : lo + step], x, ids, k)
+                out.append((q_ids[lo : lo + step][i], ids[j], far))
+            a, b, d = (np.concatenate(z) for z in zip(*out))  # of one query side by side
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
         ends = pa.array(np.append(first, len(a)).astype(np.int32))
         pairs = pa.StructArray.from_arrays([pa.array(d), pa.array(b)], ["d", "neighbour"])
@@ -266,8 +235,15 @@ def _meet(dim: int, k: int):
     return run
 
 
-def neighbours(table: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", column: str = "embedding", recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
-    """(id, rank, neighbour, distance): the k nearest others of each vector, by Euclidean distance.
+def _blocks(rows: DataFrame, other: DataFrame, mine: str, theirs: str, each: int) -> DataFrame:
+    """rows (leaf, id, v) with a block by a hash of the id, once for each block of the other side; the leaves, which are bounded, are counted."""
+    count = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / each).cast("int").alias(name))
+    n = F.broadcast(count(rows, "_n").join(count(other, "_m"), "leaf"))
+    return rows.join(n, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias(theirs), "id", "v")
+
+
+def neighbours(table: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", column: str = "embedding", recall: float = RECALL, leaf: int = LEAF, each: int = 1, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(id, rank, neighbour, distance): the k nearest others among all vectors, by Euclidean distance, of each vector whose id ``each`` divides.
 
     Ties go to the lesser id, also where vectors are equal, at distance 0. With fewer than k other
     vectors there are fewer neighbours. Rows without a usable vector (see ``vectors``) have none
@@ -275,17 +251,24 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", colum
     """
     rows, dim = vectors(table, key, column)
     rows = rows.select("id", "v")
-    tree = grow(rows, dim, leaf)
-    visits = calibrate(rows, tree, k, recall)
+    total = rows.count()
+    tree = grow(sampled(rows, fit_rows, total, 1)[1], leaf)
+    tree.dim = dim
+    visits = calibrate(rows, tree, k, total, recall) if dim else 1
     shared = rows.sparkSession.sparkContext.broadcast(tree)
-    met = rows.mapInArrow(_routes(shared, dim, visits), f"leaf bigint, id bigint, v {dict(rows.dtypes)['v']}, home boolean")
-    found = met.groupBy("leaf").applyInArrow(_meet(dim, k), "id bigint, best array<struct<d:double,neighbour:bigint>>")
+    kind = f"leaf bigint, id bigint, v {dict(rows.dtypes)['v']}"
+    index = checkpointed(rows.mapInArrow(_leaves(shared, dim, None), kind))
+    asked = checkpointed(rows.where(F.pmod("id", F.lit(each)) == 0).repartition(F.col("id")).mapInArrow(_leaves(shared, dim, visits), kind))
+    meeting = ["leaf", "p", "q"]
+    met = _blocks(asked, index, "p", "q", block_rows).groupBy(*meeting).cogroup(_blocks(index, asked, "q", "p", block_rows).groupBy(*meeting))
+    found = met.applyInArrow(_meet(dim, k), "id bigint, best array<struct<d:double,neighbour:bigint>>")
     ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return ranked.select("id", F.posexplode("best").alias("rank", "x")).select("id", (F.col("rank") + 1).alias("rank"), "x.neighbour", F.sqrt("x.d").alias("distance"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    """Queries: every vector whose id EACH divides, against all vectors."""
+    return neighbours(load(spark, sf_dir, "embeddings"), each=EACH).withColumnRenamed("id", "vec_id")
 
 
 QUERIES = {"op8_nearest_neighbours": op8_nearest_neighbours}

@@ -24,11 +24,12 @@ def data():
     return np.arange(600) * 3, x
 
 
-def test_recall_and_order(spark, data):
+@pytest.mark.parametrize("block_rows, fit_rows", [(1 << 14, 1 << 16), (25, 300)])
+def test_recall_and_order(spark, data, block_rows, fit_rows):
     ids, x = data
     table = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, id int")
     got = {}
-    for r in N.neighbours(table, 10, leaf=40).orderBy("id", "rank").collect():
+    for r in N.neighbours(table, 10, leaf=40, block_rows=block_rows, fit_rows=fit_rows).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append((r.neighbour, r.distance))
     want = brute(ids, x.astype(np.float64), 10)
     assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
@@ -38,14 +39,35 @@ def test_recall_and_order(spark, data):
     assert got[30][:2] == [(60, 0.0), (90, 0.0)] and got[60][:2] == [(30, 0.0), (90, 0.0)]
 
 
-def test_best_bin_first_visits_every_leaf_once(data, spark):
+def test_best_bin_first_visits_every_leaf_once(data):
     ids, x = data
-    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, v array<float>")
-    tree = N.grow(rows, 16, 40)
+    x = x.astype(float)
+    tree = N.grow(x, 40)
     leaves = [n for n, c in enumerate(tree.children) if not c]
-    order = tree.visits(x[0].astype(float), len(leaves))
-    assert sorted(order) == leaves and order[0] == tree.descend(x[:1].astype(float))[0]
-    assert tree.visits(x[0].astype(float), 3) == order[:3]
+    assert np.bincount(tree.descend(x)).max() <= 40
+    order = tree.visits(x[0], len(leaves))
+    assert sorted(order) == leaves and order[0] == tree.descend(x[:1])[0]
+    assert tree.visits(x[0], 3) == order[:3]
+
+
+def test_query_has_the_recall_it_asks_for(spark):
+    """The query itself, over the whole table, against brute force for all its queries."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    t = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet' order by vec_id").fetchnumpy()
+    ids, x = t["vec_id"], np.stack(t["embedding"]).astype(np.float64)
+    got = {}
+    for r in N.op8_nearest_neighbours(spark, sf).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append((r.neighbour, r.distance))
+    assert sorted(got) == [i for i in ids.tolist() if i % N.EACH == 0]
+    hits = 0
+    for i, found in got.items():
+        d = np.sqrt(((x - x[ids == i]) ** 2).sum(1))
+        d[ids == i] = np.inf
+        assert np.allclose([far for _, far in found], [d[ids == n][0] for n, _ in found])
+        hits += len({n for n, _ in found} & set(ids[np.lexsort((ids, d))[: N.NEIGHBOURS]].tolist()))
+    assert hits >= 0.9 * N.NEIGHBOURS * len(got)
 
 
 def test_odd_rows(spark):
