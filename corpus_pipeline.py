@@ -5,12 +5,12 @@ Each stage works on what the one before it kept, written as Parquet and read aga
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hvspark.llm import bpe, decontaminate, jaccard, language, lines
+from hvspark.llm.frames import shared_root
 
 STAGES = [
     ("language ID", language.stage),
@@ -26,8 +26,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, in the shared folder that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

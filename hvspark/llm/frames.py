@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hvspark.sources.tables import checkpointed, shared_root  # noqa: F401
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that all executors share and read from there.
-
-    The folder is the one the session names; only where none is named (tests on one machine)
-    a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
-
-
 KEY = "struct<a:bigint,b:bigint>"  #: type of a row's key
 
 

@@ -1,14 +1,19 @@
 """Incremental, reversible line dedup: sharded cuckoo filters backed by exact reference counts.
 
-A ``LineStore`` is a folder of Parquet tables that all executors can reach:
+A ``LineStore`` is a folder of Parquet tables that all executors can reach, to which each change adds:
 
-* ``lines``: every occurrence (shard, h1, h2, batch, doc_id, key, pos) of a live document's line,
-* ``refs``: for each distinct line the exact number of its occurrences and its owner, the
-  occurrence that stays: the least by (batch, doc_id, key, pos),
-* ``filters``: for each shard of the lines' hashes a cuckoo filter of the distinct lines.
+* ``lines``: every occurrence (shard, h1, h2, batch, doc_id, key, pos) of a document's line,
+* ``keys`` and ``gone``: the documents that were inserted, and deleted,
+* ``refs``: for each distinct line that a change touches, by how much the exact number of its occurrences
+  changed, and its owner if that is another one now. The owner is the occurrence that stays: the least by
+  (batch, doc_id, key, pos),
+* ``filters``: for each shard of the lines' hashes that a change touches a cuckoo filter of the distinct lines.
+
+A change counts once its list of tables is written (``changes``); so a job that dies leaves the store
+as it was, and ``LineStore.open`` takes it up again. What was written before isn't written again.
 
 ``insert`` asks the filters first. A line that its shard's filter doesn't hold is new and needs
-no look-up; the rest is joined to the exact table, which decides. ``delete`` takes a document's
+no look-up; only the rest is joined to the exact counts, which decide. ``delete`` takes a document's
 occurrences back: counts fall, a line at zero leaves table and filter, and a line whose owner
 went passes to its next occurrence, which comes back in that document's text. So the state after
 any insertions and deletions is that of inserting what is live.
@@ -24,11 +29,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hvspark.llm.cuckoo import CuckooFilter, Full
-from hvspark.llm.frames import KEY, keyed, load, parts_of, row_key
+from hvspark.llm.frames import KEY, broadcast_if_small, checkpointed, keyed, load, parts_of, row_key, shared_root
 
 SHARD_BYTES = 16 << 20  #: of documents a shard, where the number of shards isn't given
 LINE = ["shard", "h1", "h2"]
@@ -36,6 +40,7 @@ _OWNER = f"struct<batch:int,doc_id:bigint,key:{KEY},pos:int>"
 _REFS = f"shard int, h1 bigint, h2 bigint, refs bigint, owner {_OWNER}"
 _LINES = f"shard int, h1 bigint, h2 bigint, batch int, doc_id bigint, key {KEY}, pos int"
 _PROBED = f"{_REFS}, seen boolean, filter binary"
+_KINDS = {"lines": _LINES, "refs": f"{_REFS}, version int", "filters": "shard int, filter binary, version int", "keys": f"key {KEY}", "gone": f"key {KEY}, version int"}
 
 
 def occurrences(docs: DataFrame, shards: int, batch: int) -> DataFrame:
@@ -79,97 +84,146 @@ def _rebuild(lines: pa.Table) -> pa.Table:
 
 def _remove(gone: pa.Table, old: pa.Table) -> pa.Table:
     now = _filter_of(old)
-    now.remove(np.unique(gone["h1"].to_numpy().view(np.uint64))) if gone.num_rows else None
+    now.remove(np.unique(gone["h1"].to_numpy().view(np.uint64)))
     return pa.table({"shard": old["shard"][:1], "filter": pa.array([now.to_bytes()], pa.binary())})
 
 
 class LineStore:
-    """The state in a shared folder. Each change writes a new version of what it changes."""
+    """The state in a shared folder; one change at a time."""
 
     def __init__(self, spark: SparkSession, folder: str, shards: int):
         self.spark, self.folder, self.shards, self.version = spark, folder, shards, 0
-        self._at: dict[str, str] = {}
+        self.looked_up = 0  #: lines of the last insertion that were looked up in the exact table
+        self._paths: dict[str, list[str]] = {}
 
     @classmethod
     def scratch(cls, docs: DataFrame, shards: int | None = None) -> LineStore:
         """An empty store in the session's shared folder."""
         spark = docs.sparkSession
-        sc = spark.sparkContext
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        if root is None:
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="lines")
-        return cls(spark, f"{root}/lines-{uuid.uuid4().hex}", shards or parts_of(docs, SHARD_BYTES))
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self._at[name]) if name in self._at else self.spark.createDataFrame([], schema)
+        return cls(spark, f"{shared_root(spark)}/lines-{uuid.uuid4().hex}", shards or parts_of(docs, SHARD_BYTES))
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}/{self.version}"
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineStore:
+        """The store that is in a folder, as its last change left it."""
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/changes")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [x.getPath().toString() for x in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+        rows = spark.read.schema("version int, shards int, kind string, path string").json(done).orderBy("version").collect()
+        store = cls(spark, folder, rows[0]["shards"])
+        for r in rows:
+            store.version = r["version"]
+            store._paths.setdefault(r["kind"], []).append(r["path"])
+        return store
+
+    def _read(self, kind: str) -> DataFrame:
+        """All that changes added to a table."""
+        if kind not in self._paths:
+            return self.spark.createDataFrame([], _KINDS[kind])
+        return self.spark.read.schema(_KINDS[kind]).parquet(*self._paths[kind])
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = f"{self.folder}/{name}/{self.version}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        self._at[name] = path
+        return path
+
+    def _commit(self, paths: dict[str, str], scratch: list[str]) -> None:
+        rows = [(self.version, self.shards, kind, path) for kind, path in paths.items()]
+        self.spark.createDataFrame(rows, "version int, shards int, kind string, path string").coalesce(1).write.json(f"{self.folder}/changes/{self.version}-{uuid.uuid4().hex}")
+        for kind, path in paths.items():
+            self._paths.setdefault(kind, []).append(path)
+        for path in scratch:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _state(self, rows: DataFrame) -> DataFrame:
+        """(shard, h1, h2, refs, owner) of the lines that rows of ``refs`` tell of."""
+        if len(self._paths.get("refs", ())) < 2:
+            return rows.drop("version").where("refs > 0")
+        last = F.max(F.when(F.col("owner").isNotNull(), F.struct("version", "owner"))).getField("owner")
+        return rows.groupBy(*LINE).agg(F.sum("refs").alias("refs"), last.alias("owner")).where("refs > 0")
 
     @property
     def lines(self) -> DataFrame:
-        return self._read("lines", _LINES)
+        """The occurrences in documents that weren't deleted."""
+        rows = self._read("lines")
+        if "gone" not in self._paths:
+            return rows
+        gone = self._read("gone").groupBy("key").agg(F.max("version").alias("dead"))
+        return rows.join(gone, "key", "left").where("dead is null or batch > dead").select(*LINE, "batch", "doc_id", "key", "pos")
+
+    @property
+    def keys(self) -> DataFrame:
+        return self.lines.select("key").distinct() if "gone" in self._paths else self._read("keys")
 
     @property
     def refs(self) -> DataFrame:
-        return self._read("refs", _REFS)
+        return self._state(self._read("refs"))
 
     @property
     def filters(self) -> DataFrame:
-        return self._read("filters", "shard int, filter binary")
+        rows = self._read("filters")
+        if len(self._paths.get("filters", ())) < 2:
+            return rows.drop("version")
+        return rows.groupBy("shard").agg(F.max_by("filter", "version").alias("filter"))
 
     def insert(self, docs: DataFrame) -> None:
         """Documents that are in the store already, by id and text, are left as they are."""
+        first = not self._paths
         self.version += 1
+        version = F.lit(self.version)
         rows = occurrences(docs, self.shards, self.version)
-        empty = "lines" not in self._at
-        if not empty:
-            rows = rows.join(self.lines.select("key").distinct(), "key", "left_anti").select(*LINE, "batch", "doc_id", "key", "pos")
+        keys = docs.select(row_key("doc_id", "text").alias("key")).distinct()
+        if not first:
+            known = checkpointed(keys.join(self.keys, "key", "left_semi"))
+            if not known.isEmpty():
+                rows = rows.join(broadcast_if_small(known, 32), "key", "left_anti").select(*LINE, "batch", "doc_id", "key", "pos")
+                keys = keys.join(broadcast_if_small(known, 32), "key", "left_anti")
         rows = rows.groupBy(*LINE).agg(F.collect_set(F.struct("batch", "doc_id", "key", "pos")).alias("at"))
-        self._write("added", rows)
-        added = self._read("added", f"shard int, h1 bigint, h2 bigint, at array<{_OWNER}>")
+        scratch = [self._write("added", rows)]
+        added = self.spark.read.schema(f"shard int, h1 bigint, h2 bigint, at array<{_OWNER}>").parquet(scratch[0])
         delta = added.select(*LINE, F.size("at").cast("bigint").alias("refs"), F.array_min("at").alias("owner"))
-        self._write("probed", delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, _PROBED))
-        probed = self._read("probed", _PROBED)
-        new = probed.where("refs is not null and not seen").drop("seen", "filter")
-        maybe = probed.where("seen").drop("seen", "filter")
-        old = self.refs
-        if empty:
-            refs = new
-        else:
-            both = maybe.unionByName(old).groupBy(*LINE).agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"))
-            refs = new.unionByName(both)
-        self._write("refs", refs)
-        flat = added.select(*LINE, F.explode("at").alias("o")).select(*LINE, "o.*")
-        self._write("lines", flat if empty else self.lines.unionByName(flat))
+        scratch.append(self._write("probed", delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, _PROBED)))
+        probed = self.spark.read.schema(_PROBED).parquet(scratch[1])
+        own = probed.where("refs is not null and not seen").select(*LINE, "refs", "owner")
+        if not first:
+            maybe = probed.where("seen").select(*LINE, "refs", "owner")
+            self.looked_up = maybe.count()
+            there = self._state(self._read("refs").join(maybe.select(*LINE), LINE, "left_semi")).select(*LINE, F.lit(True).alias("there"))
+            own = own.unionByName(maybe.join(there, LINE, "left").select(*LINE, "refs", F.when(F.col("there").isNull(), F.col("owner")).alias("owner")))
+        paths = {"refs": self._write("refs", own.withColumn("version", version))}
+        paths["lines"] = self._write("lines", added.select(*LINE, F.explode("at").alias("o")).select(*LINE, "o.*"))
+        paths["keys"] = self._write("keys", keys)
         blobs = probed.where("refs is null").select("shard", "filter")
-        overflow = blobs.where("filter is null").select("shard")
-        fits = blobs.where("filter is not null")
-        if not empty:
-            built = self.refs.select("shard", "h1").join(overflow, "shard", "left_semi").groupBy("shard").applyInArrow(_rebuild, "shard int, filter binary")
-            fits = fits.unionByName(built)
-        self._write("filters", fits)
+        fits, overflow = blobs.where("filter is not null"), blobs.where("filter is null").select("shard")
+        if not first and not overflow.isEmpty():
+            held = self.refs.select("shard", "h1").unionByName(added.select("shard", "h1"))
+            fits = fits.unionByName(held.join(overflow, "shard", "left_semi").groupBy("shard").applyInArrow(_rebuild, "shard int, filter binary"))
+        paths["filters"] = self._write("filters", fits.withColumn("version", version))
+        self._commit(paths, scratch)
 
     def delete(self, docs: DataFrame) -> None:
         """Take documents, by id and text, out again; those that aren't in the store don't matter."""
         self.version += 1
-        keys = docs.select(row_key("doc_id", "text").alias("key")).distinct()
-        gone = self.lines.join(keys, "key", "left_semi").select(*LINE, "batch", "doc_id", "key", "pos")
-        live = self.lines.join(keys, "key", "left_anti").select(*LINE, "batch", "doc_id", "key", "pos")
-        loss = gone.groupBy(*LINE).agg(F.count("*").alias("lost"), F.collect_set(F.struct("batch", "doc_id", "key", "pos")).alias("out"))
-        counted = self.refs.join(loss, LINE, "left").select(*LINE, (F.col("refs") - F.coalesce("lost", F.lit(0))).alias("refs"), "owner", F.coalesce(F.array_contains("out", F.col("owner")), F.lit(False)).alias("orphan"))
-        heirs = live.join(counted.where("orphan and refs > 0").select(*LINE), LINE, "left_semi").groupBy(*LINE).agg(F.min(F.struct("batch", "doc_id", "key", "pos")).alias("heir"))
-        self._write("counted", counted.join(heirs, LINE, "left").select(*LINE, "refs", F.when(F.col("orphan"), F.col("heir")).otherwise(F.col("owner")).alias("owner")))
-        counted = self._read("counted", _REFS)
-        dead = counted.where("refs = 0").select("shard", "h1").distinct()
-        dead = dead.join(counted.where("refs > 0").select("shard", "h1"), ["shard", "h1"], "left_anti")
-        self._write("filters", dead.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_remove, "shard int, filter binary"))
-        self._write("refs", counted.where("refs > 0"))
-        self._write("lines", live)
+        version = F.lit(self.version)
+        keys = checkpointed(docs.select(row_key("doc_id", "text").alias("key")).distinct())
+        where = broadcast_if_small(keys, 32)
+        loss = self.lines.join(where, "key", "left_semi").groupBy(*LINE).agg(F.count("*").alias("lost"), F.collect_set(F.struct("batch", "doc_id", "key", "pos")).alias("out"))
+        scratch = [self._write("loss", loss)]
+        loss = self.spark.read.schema(f"shard int, h1 bigint, h2 bigint, lost bigint, out array<{_OWNER}>").parquet(scratch[0])
+        now = self._state(self._read("refs").join(loss.select(*LINE), LINE, "left_semi"))
+        left = loss.join(now, LINE).select(*LINE, "lost", (F.col("refs") - F.col("lost")).alias("left"), F.array_contains("out", F.col("owner")).alias("orphan"))
+        scratch.append(self._write("left", left))
+        left = self.spark.read.schema("shard int, h1 bigint, h2 bigint, lost bigint, left bigint, orphan boolean").parquet(scratch[1])
+        heirs = self.lines.join(left.where("orphan and left > 0").select(*LINE), LINE, "left_semi").join(where, "key", "left_anti").groupBy(*LINE).agg(F.min(F.struct("batch", "doc_id", "key", "pos")).alias("owner"))
+        paths = {"refs": self._write("refs", left.join(heirs, LINE, "left").select(*LINE, (-F.col("lost")).alias("refs"), "owner", version.alias("version")))}
+        dead = left.where("left = 0").select("shard", "h1").distinct()
+        alive = self._state(self._read("refs").join(dead, ["shard", "h1"], "left_semi")).join(left.where("left = 0").select(*LINE), LINE, "left_anti")
+        dead = dead.join(alive.select("shard", "h1"), ["shard", "h1"], "left_anti")
+        touched = self.filters.join(dead.select("shard").distinct(), "shard", "left_semi")
+        paths["filters"] = self._write("filters", dead.groupBy("shard").cogroup(touched.groupBy("shard")).applyInArrow(_remove, "shard int, filter binary").withColumn("version", version))
+        paths["gone"] = self._write("gone", keys.withColumn("version", version))
+        self._commit(paths, scratch)
 
     def kept(self) -> DataFrame:
         """(key, keep): the positions of the lines that each document owns."""
@@ -185,8 +239,7 @@ class LineStore:
         lines = F.split("row.text", "\n")
         mine = F.coalesce("own", F.array().cast("array<int>"))
         parts = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), ((F.trim(x) == "") | F.array_contains(mine, i)).alias("stays"))), lambda x: x.stays)
-        nth = F.row_number().over(W.partitionBy("key").orderBy("key"))
-        rows = keyed(docs).join(self.kept().withColumnRenamed("keep", "own"), "key", "left").withColumn("nth", nth).where("nth = 1")
+        rows = keyed(docs).groupBy("key").agg(F.first("row").alias("row")).join(self.kept().withColumnRenamed("keep", "own"), "key", "left")
         total = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.trim(x) != "")))
         rows = rows.withColumn("total", total).withColumn("held", F.size(mine)).where("held > 0 or total = 0")
         text = F.when(F.col("held") == F.col("total"), F.col("row.text")).otherwise(F.array_join(F.transform(parts, lambda x: x.line), "\n"))
@@ -194,16 +247,23 @@ class LineStore:
         return rows.select(*kept, F.col("total").alias("_lines"), F.col("held").alias("_kept"))
 
 
-def dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """docs without lines that came before, in the order of doc_id and place; see ``deduplicated``."""
+def dedup(docs: DataFrame, shards: int | None = None, batches: int = 1) -> DataFrame:
+    """docs without lines that came before, in the order of doc_id and place; see ``deduplicated``.
+
+    In so many batches, one after the other by doc_id; their number doesn't change the result.
+    """
     store = LineStore.scratch(docs, shards)
-    store.insert(docs)
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else None
+    batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts or ()), F.lit(0))
+    for i in range(batches if cuts else 1):
+        store.insert(docs.where(F.coalesce(batch, F.lit(0)) == i) if cuts else docs)
     return store.deduplicated(docs)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, the second half by id after the first."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).withColumnsRenamed({"_lines": "n_lines", "_kept": "n_kept"})
+    return dedup(docs, batches=2).withColumnsRenamed({"_lines": "n_lines", "_kept": "n_kept"})
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,11 +56,15 @@ def test_insertions_and_deletions_are_reversible(spark, batches):
     assert texts(store, first) == plain(first)
     before = sorted(map(str, store.refs.collect()))
     store.insert(frame(second))
+    both = {x.strip(" ") for _, t in first for x in t.split("\n")} & {x.strip(" ") for _, t in second for x in t.split("\n")} - {""}
+    assert len(both) <= store.looked_up <= len(both) + 1  # new lines aren't looked up
+    store = L.LineStore.open(spark, store.folder)
     assert texts(store, first + second) == plain(first + second)
     store.insert(frame(second))  # again: nothing changes
     assert texts(store, first + second) == plain(first + second)
     store.delete(frame(second))
     assert sorted(map(str, store.refs.collect())) == before
+    store = L.LineStore.open(spark, store.folder)
     store.delete(frame(first[:15]))  # their lines come back in others
     assert texts(store, first[15:]) == plain(first[15:])
     held = {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in store.filters.collect()}
@@ -76,6 +80,17 @@ def test_insertions_and_deletions_are_reversible(spark, batches):
     assert store.refs.count() == store.lines.count() == 0
 
 
+def test_batches_dont_change_the_result(spark, batches):
+    rows = [*batches[0], *batches[1], (None, "a\nown text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(map(str, L.dedup(docs, 4, n).collect())) for n in (1, 3))
+    assert a == b
+    store = L.LineStore.scratch(docs, 4)
+    store.insert(docs)
+    (spark.createDataFrame([(1,)], "x int").write.parquet(f"{store.folder}/refs/9-died"))  # a change that died before it counted
+    assert L.LineStore.open(spark, store.folder).refs.count() == store.refs.count()
+
+
 def test_odd_rows(odd, none):
     got = L.dedup(odd).collect()
     assert [r.doc_id for r in got].count(1) == 1 and 7 not in {r.doc_id for r in got}
@@ -84,7 +99,7 @@ def test_odd_rows(odd, none):
     assert by[4]._lines == by[4]._kept == 1 and by[4].window == "w"
     assert sum(r.doc_id is None for r in got) == 2
     assert L.stage(odd.sparkSession, odd, "").schema == SCHEMA
-    assert L.dedup(none).count() == 0
+    assert L.dedup(none).count() == 0 and L.dedup(none, batches=2).count() == 0
 
 
 def test_passages_go_where_they_repeat(spark):
