@@ -177,9 +177,9 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, bytes, bits) for each row of docs; null and empty texts have 0 of both."""
     n = parts_of(docs, BLOCK_BYTES)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    dealt = docs.select(block.alias("block"), "text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang").repartition("block")
+    dealt = docs.select(block.alias("block"), "text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang").repartitionById(n, "block")
     wanted = dealt.mapInArrow(_wanted_of, f"block int, {_GRAMS}")
-    said = wanted.join(model, ["ord", "gram"]).select("block", "ord", "gram", "p", "back")
+    said = wanted.join(model, ["ord", "gram"]).select("block", "ord", "gram", "p", "back").repartitionById(n, "block")
     return dealt.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_score, "doc_id bigint, lang string, bytes bigint, bits double")
 
 
