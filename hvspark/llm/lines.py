@@ -226,8 +226,12 @@ class LineStore:
         self._commit(paths, scratch)
 
     def kept(self) -> DataFrame:
-        """(key, keep): the positions of the lines that each document owns."""
-        return self.refs.select("owner.key", "owner.pos").groupBy("key").agg(F.collect_list("pos").alias("keep"))
+        """(key, keep): the positions of the lines that each document owns.
+
+        Where nothing was deleted, a line's owner stays what it was when the line came, and no change names another.
+        """
+        owned = self.refs if "gone" in self._paths else self._read("refs").where("owner is not null")
+        return owned.select("owner.key", "owner.pos").groupBy("key").agg(F.collect_list("pos").alias("keep"))
 
     def deduplicated(self, docs: DataFrame) -> DataFrame:
         """docs, all of which are in the store, with only the lines that they own in their text.
