@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hvspark.llm.cuckoo import CuckooFilter, Full
-from hvspark.llm.frames import KEY, broadcast_if_small, checkpointed, keyed, load, parts_of, row_key, shared_root
+from hvspark.llm.frames import BROADCAST_BYTES, KEY, broadcast_if_small, checkpointed, keyed, load, parts_of, row_key, shared_root
 
 SHARD_BYTES = 16 << 20  #: of documents a shard, where the number of shards isn't given
 LINE = ["shard", "h1", "h2"]
@@ -51,6 +51,18 @@ def occurrences(docs: DataFrame, shards: int, batch: int) -> DataFrame:
     return lines.where(line != "").select(F.pmod(h1, F.lit(shards)).cast("int").alias("shard"), h1.alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "batch", "doc_id", "key", "pos")
 
 
+def _once(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Occurrences without repeats, which only the documents of the keys in twice have."""
+    n = twice.count()
+    if n * 32 > BROADCAST_BYTES:
+        return rows.distinct()
+    if not n:
+        return rows
+    few = F.broadcast(twice)
+    again = rows.join(few, "key", "left_semi").distinct()
+    return rows.join(few, "key", "left_anti").unionByName(again)
+
+
 def _filter_of(table: pa.Table) -> CuckooFilter | None:
     return CuckooFilter.from_bytes(table["filter"][0].as_py()) if table.num_rows else None
 
@@ -172,32 +184,31 @@ class LineStore:
         first = not self._paths
         self.version += 1
         version = F.lit(self.version)
-        rows = occurrences(docs, self.shards, self.version)
-        keys = docs.select(row_key("doc_id", "text").alias("key")).distinct()
+        keys = checkpointed(docs.groupBy(row_key("doc_id", "text").alias("key")).agg(F.count("*").alias("rows")))
+        rows = _once(occurrences(docs, self.shards, self.version), keys.where("rows > 1").select("key"))
+        keys = keys.select("key")
         if not first:
             known = checkpointed(keys.join(self.keys, "key", "left_semi"))
             if not known.isEmpty():
                 rows = rows.join(broadcast_if_small(known, 32), "key", "left_anti").select(*LINE, "batch", "doc_id", "key", "pos")
                 keys = keys.join(broadcast_if_small(known, 32), "key", "left_anti")
-        rows = rows.groupBy(*LINE).agg(F.collect_set(F.struct("batch", "doc_id", "key", "pos")).alias("at"))
-        scratch = [self._write("added", rows)]
-        added = self.spark.read.schema(f"shard int, h1 bigint, h2 bigint, at array<{_OWNER}>").parquet(scratch[0])
-        delta = added.select(*LINE, F.size("at").cast("bigint").alias("refs"), F.array_min("at").alias("owner"))
-        scratch.append(self._write("probed", delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, _PROBED)))
-        probed = self.spark.read.schema(_PROBED).parquet(scratch[1])
+        paths = {"lines": self._write("lines", rows)}
+        added = self.spark.read.schema(_LINES).parquet(paths["lines"])
+        delta = added.groupBy(*LINE).agg(F.count("*").alias("refs"), F.min(F.struct("batch", "doc_id", "key", "pos")).alias("owner"))
+        scratch = [self._write("probed", delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, _PROBED))]
+        probed = self.spark.read.schema(_PROBED).parquet(scratch[0])
         own = probed.where("refs is not null and not seen").select(*LINE, "refs", "owner")
         if not first:
             maybe = probed.where("seen").select(*LINE, "refs", "owner")
             self.looked_up = maybe.count()
             there = self._state(self._read("refs").join(maybe.select(*LINE), LINE, "left_semi")).select(*LINE, F.lit(True).alias("there"))
             own = own.unionByName(maybe.join(there, LINE, "left").select(*LINE, "refs", F.when(F.col("there").isNull(), F.col("owner")).alias("owner")))
-        paths = {"refs": self._write("refs", own.withColumn("version", version))}
-        paths["lines"] = self._write("lines", added.select(*LINE, F.explode("at").alias("o")).select(*LINE, "o.*"))
+        paths["refs"] = self._write("refs", own.withColumn("version", version))
         paths["keys"] = self._write("keys", keys)
         blobs = probed.where("refs is null").select("shard", "filter")
         fits, overflow = blobs.where("filter is not null"), blobs.where("filter is null").select("shard")
         if not first and not overflow.isEmpty():
-            held = self.refs.select("shard", "h1").unionByName(added.select("shard", "h1"))
+            held = self.refs.select("shard", "h1").unionByName(probed.where("refs is not null").select("shard", "h1"))
             fits = fits.unionByName(held.join(overflow, "shard", "left_semi").groupBy("shard").applyInArrow(_rebuild, "shard int, filter binary"))
         paths["filters"] = self._write("filters", fits.withColumn("version", version))
         self._commit(paths, scratch)
@@ -208,14 +219,13 @@ class LineStore:
         version = F.lit(self.version)
         keys = checkpointed(docs.select(row_key("doc_id", "text").alias("key")).distinct())
         where = broadcast_if_small(keys, 32)
-        loss = self.lines.join(where, "key", "left_semi").groupBy(*LINE).agg(F.count("*").alias("lost"), F.collect_set(F.struct("batch", "doc_id", "key", "pos")).alias("out"))
-        scratch = [self._write("loss", loss)]
-        loss = self.spark.read.schema(f"shard int, h1 bigint, h2 bigint, lost bigint, out array<{_OWNER}>").parquet(scratch[0])
-        now = self._state(self._read("refs").join(loss.select(*LINE), LINE, "left_semi"))
-        left = loss.join(now, LINE).select(*LINE, "lost", (F.col("refs") - F.col("lost")).alias("left"), F.array_contains("out", F.col("owner")).alias("orphan"))
-        scratch.append(self._write("left", left))
-        left = self.spark.read.schema("shard int, h1 bigint, h2 bigint, lost bigint, left bigint, orphan boolean").parquet(scratch[1])
-        heirs = self.lines.join(left.where("orphan and left > 0").select(*LINE), LINE, "left_semi").join(where, "key", "left_anti").groupBy(*LINE).agg(F.min(F.struct("batch", "doc_id", "key", "pos")).alias("owner"))
+        loss = checkpointed(self.lines.join(where, "key", "left_semi").groupBy(*LINE).agg(F.count("*").alias("lost")))
+        now = self._state(self._read("refs").join(loss.select(*LINE), LINE, "left_semi")).select(*LINE, "refs", F.col("owner.key").alias("key"))
+        left = loss.join(now, LINE).join(where.withColumn("orphan", F.lit(True)), "key", "left")
+        left = checkpointed(left.select(*LINE, "lost", (F.col("refs") - F.col("lost")).alias("left"), F.coalesce("orphan", F.lit(False)).alias("orphan")))
+        orphans = broadcast_if_small(left.where("orphan and left > 0").select(*LINE), 32)
+        live = self.lines.join(where, "key", "left_anti").groupBy(*LINE).agg(F.min(F.struct("batch", "doc_id", "key", "pos")).alias("owner"))
+        heirs = live.join(orphans, LINE, "left_semi")  # Catalyst asks few orphans before it aggregates, many after
         paths = {"refs": self._write("refs", left.join(heirs, LINE, "left").select(*LINE, (-F.col("lost")).alias("refs"), "owner", version.alias("version")))}
         dead = left.where("left = 0").select("shard", "h1").distinct()
         alive = self._state(self._read("refs").join(dead, ["shard", "h1"], "left_semi")).join(left.where("left = 0").select(*LINE), LINE, "left_anti")
@@ -223,7 +233,7 @@ class LineStore:
         touched = self.filters.join(dead.select("shard").distinct(), "shard", "left_semi")
         paths["filters"] = self._write("filters", dead.groupBy("shard").cogroup(touched.groupBy("shard")).applyInArrow(_remove, "shard int, filter binary").withColumn("version", version))
         paths["gone"] = self._write("gone", keys.withColumn("version", version))
-        self._commit(paths, scratch)
+        self._commit(paths, [])
 
     def kept(self) -> DataFrame:
         """(key, keep): the positions of the lines that each document owns.

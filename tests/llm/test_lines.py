@@ -107,3 +107,14 @@ def test_passages_go_where_they_repeat(spark):
     docs = spark.createDataFrame([(i, f"own {i}\n{passage}\nlast {i}") for i in range(5)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in L.dedup(docs).collect()}
     assert got[0].count("word59") == 1 and all(got[i] == f"own {i}\nlast {i}" for i in range(1, 5))
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_rows_that_repeat_count_once(spark, monkeypatch, limit):
+    monkeypatch.setattr(L, "BROADCAST_BYTES", limit)
+    docs = spark.createDataFrame([(1, "hot\na"), (1, "hot\na"), (2, "hot\nb"), (1, "hot\nc")], "doc_id long, text string")
+    store = L.LineStore.scratch(docs, 2)
+    store.insert(docs)
+    assert sorted(r.refs for r in store.refs.collect()) == [1, 1, 1, 3]
+    store.delete(docs.where("doc_id = 1"))
+    assert sorted((r.refs, r.owner.doc_id) for r in store.refs.collect()) == [(1, 2), (1, 2)]
