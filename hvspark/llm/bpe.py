@@ -160,11 +160,16 @@ class Coder:
         """Ids as 32-bit numbers."""
         return b"".join(map(self.memo.__getitem__, pieces(text)))
 
+    def forget(self) -> None:
+        """Let go of what is remembered of texts."""
+        self.memo.clear()
+        self.fits.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids))
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[int, Coder] = {}  #: 30 MB each; what they remember goes with each task, as workers outlive the stage
 
 
 def _coder(shared) -> Coder:
@@ -207,6 +212,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = False, name:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
                 more = [lists, pa.array(exact, pa.bool_())] if verify else [lists]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "ids", "exact"][: len(b.columns) + len(more)])
+        coder.forget()
 
     spaced = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     more = [StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())][: 1 + verify]
