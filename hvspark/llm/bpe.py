@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from hvspark.llm.frames import load
+from hvspark.llm.tokens import give_back
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  #: default for ``path``
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -213,6 +214,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = False, name:
                 more = [lists, pa.array(exact, pa.bool_())] if verify else [lists]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "ids", "exact"][: len(b.columns) + len(more)])
         coder.forget()
+        give_back()
 
     spaced = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     more = [StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())][: 1 + verify]

@@ -12,6 +12,7 @@ rows into blocks of about ``BLOCK`` bytes so that the arrays stay in the CPU's c
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     _WORD[_lo:_hi] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  #: glibc only
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
@@ -79,6 +81,14 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.n
         end = min(n, max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1))
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 @dataclass
