@@ -84,3 +84,35 @@ def test_deltas_of_parts_beyond_the_dimension(spark):
 
     df = spark.createDataFrame([([5, 40_000, 1_200_000],)], "hv array<int>")
     assert df.select(V.from_deltas(V.to_deltas(F.col("hv")), WHOLE)).first()[0] == [5, 40_000, 1_200_000]
+
+
+def test_equal_vectors_cluster_as_before(spark):
+    from hvspark.operators import factor
+
+    rng = random.Random(5)
+    kinds = [sorted(rng.sample(range(40), 6)) for _ in range(12)] + [[]]
+    data = [(i, kinds[rng.randrange(13)]) for i in range(60)]
+    near = {i: {j for j, y in data if j != i and set(x) & set(y) and similarity(set(x), set(y)) > 0.3} for i, x in data}
+    used, want = set(), {}
+    for i in sorted(near):
+        if i not in used and len(group := [i, *sorted(near[i] - used)]) >= 3:
+            used |= set(group)
+            want |= {j: i for j in group}
+    members, report = factor.concepts(frames(spark, [], data)[1], 1024, passes=1)
+    assert {r.id for r in members.collect()} == set(want)
+    pairs = R.similar_pairs(frames(spark, [], data)[1], 0.3).count()
+    assert pairs > 60 and sum(r.members for r in report.collect()) == len(want)
+    assert {r.centre for r in report.collect()} <= set(want.values())
+
+
+def test_a_worker_encodes_a_text_once(monkeypatch):
+    import pandas as pd
+
+    from hvspark.functions import hashing as H
+
+    calls = []
+    plain = H.TextEncoder.encode
+    monkeypatch.setattr(H.TextEncoder, "encode", lambda self, text: calls.append(text) or plain(self, text))
+    for _ in range(2):
+        got = H.encoded(pd.Series(["hot ring", None, "red bolt", "hot ring"]), 1024)
+    assert calls == ["hot ring", "red bolt"] and got == [plain(H.TextEncoder(1024), t) if t else None for t in ("hot ring", None, "red bolt", "hot ring")]
