@@ -125,13 +125,19 @@ def concepts(vectors: DataFrame, dim: int, threshold: float = 0.3, least: int =
     In the order of ids, a vector that is in no cluster yet leads one with all that are in none and
     are similar enough, if they are enough. Then, up to three times, members move to a strictly nearer centre and
     centres are bundled anew; a cluster is stable if none of its members moved in the last pass.
-    The greedy step runs over connected parts of the similar pairs, each on its own.
+    The greedy step runs over connected parts of the similar pairs, each on its own. Equal vectors
+    are one row that counts for all of them, by its least id: whatever takes one takes them all.
     """
     from hvspark.sources.tables import checkpointed
 
-    pairs = checkpointed(similar_pairs(vectors, threshold).select("a", "b"))
+    every = vectors.select("id", "hv")
+    vectors = checkpointed(every.where(F.size("hv") > 0).groupBy("hv").agg(F.min("id").alias("id"), F.count("*").alias("times")))
+    alone = vectors.where(F.col("times") >= 2).select(F.col("id").alias("a"), F.col("id").alias("b")) if threshold < 1 else None
+    pairs = similar_pairs(vectors, threshold).select("a", "b")
+    pairs = checkpointed(pairs.unionByName(alone) if alone is not None else pairs).join(vectors.select(F.col("id").alias("a"), F.col("times").alias("na")), "a").join(vectors.select(F.col("id").alias("b"), F.col("times").alias("nb")), "b")
+    pairs = checkpointed(pairs)
     comp = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    part = pairs.join(comp, pairs["a"] == comp["node"]).groupBy("root").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    part = pairs.join(comp, pairs["a"] == comp["node"]).groupBy("root").agg(F.collect_list(F.struct("a", "b", "na", "nb")).alias("pairs"))
     kind = dict(vectors.dtypes)["id"]
 
     def lead(batches):
@@ -139,14 +145,16 @@ def concepts(vectors: DataFrame, dim: int, threshold: float = 0.3, least: int =
             rows = []
             for ps in pdf["pairs"]:
                 near: dict = {}
+                times: dict = {}
                 for p in ps:
-                    near.setdefault(p["a"], []).append(p["b"])
-                    near.setdefault(p["b"], []).append(p["a"])
+                    times |= {p["a"]: p["na"], p["b"]: p["nb"]}
+                    near.setdefault(p["a"], set()).add(p["b"])
+                    near.setdefault(p["b"], set()).add(p["a"])
                 used: set = set()
                 for x in sorted(near):
                     if x not in used:
-                        group = [x, *(y for y in sorted(near[x]) if y not in used)]
-                        if len(group) >= least:
+                        group = [x, *(y for y in sorted(near[x] - {x}) if y not in used)]
+                        if sum(times[y] for y in group) >= least:
                             used.update(group)
                             rows += [(x, y) for y in group]
             yield pd.DataFrame(rows, columns=["centre", "id"])
@@ -154,7 +162,7 @@ def concepts(vectors: DataFrame, dim: int, threshold: float = 0.3, least: int =
     members = checkpointed(part.select("pairs").mapInPandas(lead, f"centre {kind}, id {kind}"))
     moved = None
     for _ in range(passes):
-        centres = checkpointed(bundle(members.join(vectors, "id"), ["centre"], dim).where(F.size("hv") > 0).select("centre", F.col("hv").alias("c")))
+        centres = checkpointed(bundle(members.join(vectors, "id"), ["centre"], dim, times="times").where(F.size("hv") > 0).select("centre", F.col("hv").alias("c")))
         own = members.join(vectors, "id").withColumnRenamed("centre", "old")
         idx = own.select("id", "old", "hv", F.explode("hv").alias("i")).join(centres.select("centre", "c", F.explode("c").alias("i")), "i").select("id", "old", "hv", "centre", "c").distinct()
         scored = idx.withColumn("s", jaccard(F.col("hv"), F.col("c")))
@@ -163,8 +171,10 @@ def concepts(vectors: DataFrame, dim: int, threshold: float = 0.3, least: int =
         both = checkpointed(members.join(best, "id", "left").select(F.coalesce("new", "centre").alias("centre"), "id", F.coalesce(F.col("new") != F.col("centre"), F.lit(False)).alias("moved"), F.coalesce("s", F.lit(0.0)).alias("s")))
         moved = both
         members = both.select("centre", "id")
-    report = moved.groupBy("centre").agg(F.count("*").alias("members"), F.avg("s").alias("coherence"), (~F.bool_or("moved")).alias("stable"))
-    return members, report
+    total = F.sum("times")
+    report = moved.join(vectors.select("id", "times"), "id").groupBy("centre").agg(total.alias("members"), (F.sum(F.col("s") * F.col("times")) / total).alias("coherence"), (~F.bool_or("moved")).alias("stable"))
+    whole = members.join(vectors.select("id", "hv"), "id").select("centre", "hv").join(every, "hv").select("centre", "id")
+    return whole, report
 
 
 def train_lists(vectors: DataFrame, dim: int, landmarks: int = 64, clusters: int = 16, rounds: int = 10, seed: int = 42):
