@@ -116,3 +116,22 @@ def test_a_worker_encodes_a_text_once(monkeypatch):
     for _ in range(2):
         got = H.encoded(pd.Series(["hot ring", None, "red bolt", "hot ring"]), 1024)
     assert calls == ["hot ring", "red bolt"] and got == [plain(H.TextEncoder(1024), t) if t else None for t in ("hot ring", None, "red bolt", "hot ring")]
+
+
+def test_closest_are_those_of_the_whole_join(spark, monkeypatch):
+    from hvspark.operators import aggregate as A
+    from hvspark.operators import closest as C
+
+    rng = random.Random(7)
+    vectors = [(i, sorted({0, *rng.sample(range(1, 60), 8)})) for i in range(120)]
+    q, d = frames(spark, [(i, h[: rng.randint(1, 9)]) for i, h in vectors[:50]] + [(900, []), (901, [999])], vectors)
+    weights = A.idf(d, 64)
+    scores = {}
+    for r in R.weighted_overlap(q, d, weights).collect():
+        scores.setdefault(r.query_id, {})[r.id] = r.score
+    monkeypatch.setattr(C, "BLOCK", 10)
+    monkeypatch.setattr(C, "STEPS", 500)
+    for how, keep in (({"margin": 1.5}, lambda s, t: s >= t - 1.5), ({"share": 0.6, "common": 20}, lambda s, t: s > 0.6 * t)):
+        want = {(a, b): s for a, of in scores.items() for b, s in of.items() if keep(s, max(of.values()))}
+        got = {(r.query_id, r.id): r.score for r in C.closest(q, d, weights, **how).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
