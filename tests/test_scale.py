@@ -135,3 +135,41 @@ def test_closest_are_those_of_the_whole_join(spark, monkeypatch):
         want = {(a, b): s for a, of in scores.items() for b, s in of.items() if keep(s, max(of.values()))}
         got = {(r.query_id, r.id): r.score for r in C.closest(q, d, weights, **how).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_similar_pairs_of_small_vectors(spark):
+    rng = random.Random(9)
+    data = [(i, sorted(rng.sample(range(20), rng.randint(0, 6)))) for i in range(90)]
+    for least in (0.2, 0.3, 0.9):
+        want = {(i, j): similarity(set(x), set(y)) for i, x in data for j, y in data if i < j and set(x) & set(y) and similarity(set(x), set(y)) > least}
+        plan = R.similar_pairs(frames(spark, [], data)[1], least)
+        assert {(r.a, r.b): r.similarity for r in plan.collect()} == want
+    assert "pair" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_field_makes_the_edge_of_a_fact_once(monkeypatch):
+    from hvspark.streaming import folds
+
+    calls = []
+    plain = folds.PlasticField._edge
+    monkeypatch.setattr(folds.PlasticField, "_edge", lambda self, *x: calls.append(x) or plain(self, *x))
+    f = folds.PlasticField(1024)
+    for _ in range(3):
+        assert f.edge("a", "r", "b").tolist() == plain(f, "a", "r", "b").tolist()
+    assert calls == [("a", "r", "b")]
+
+
+def test_two_stores_unite_the_slow_one_once():
+    from hvspark.streaming import folds
+
+    rng, m = random.Random(4), folds.TwoStores(64, every=5)
+    for _ in range(60):
+        m.add(sorted(rng.sample(range(64), 3)))
+        assert (m.slow_whole or set()) == set().union(*m.slow)
+
+
+def test_embeddings_are_asked_by_every_hundredth(spark):
+    from hvspark.queries.encoding import similar_embeddings
+
+    got = {r.query_id for r in similar_embeddings(spark, "/root/testdata/sf0.01").select("query_id").collect()}
+    assert got and all(i % 100 == 0 for i in got)
