@@ -30,8 +30,17 @@ class PlasticField:
 
     def __init__(self, dim: int, rate: int = 256):
         self.dim, self.rate, self.field, self.reads = dim, rate, np.zeros(dim, np.int64), 0
+        self.edges: dict[tuple[str, str, str], np.ndarray] = {}
 
     def edge(self, s: str, r: str, o: str) -> np.ndarray:
+        """A fact's indices; those of the last 1024 facts are remembered."""
+        if (s, r, o) not in self.edges:
+            if len(self.edges) >= 1024:
+                self.edges.clear()
+            self.edges[s, r, o] = self._edge(s, r, o)
+        return self.edges[s, r, o]
+
+    def _edge(self, s: str, r: str, o: str) -> np.ndarray:
         seed = name_seed(r)
         masks = [int(mixed(seed, x)) % self.dim | 1 for x in (0x5B1EC7, 0x0B1EC7)]
         ends = seeded(np.array([name_seed(s), name_seed(o)], _U), self.dim, self.rate)
@@ -97,12 +106,12 @@ class TwoStores:
         self.dim, self.every, self.resonance, self.reinforce, self.capacity = dim, every, resonance, reinforce, capacity
         self.fast: list[list[int]] = []
         self.slow: list[list[int]] = []
+        self.slow_whole: set[int] | None = None  #: what is in any of the slow store's items
         self.added = 0
 
-    def _held(self, item: list[int], items: list[list[int]]) -> float | None:
-        if not items:
+    def _held(self, item: list[int], whole: set[int] | None) -> float | None:
+        if whole is None:
             return None
-        whole = set().union(*items)
         rho = len(whole) / self.dim
         share = len(whole.intersection(item)) / len(item) if item else 1.0
         return 0.0 if rho >= 1 else max(0.0, (share - rho) / (1 - rho))
@@ -112,14 +121,17 @@ class TwoStores:
         self.added += 1
         if self.added % self.every == 0:
             fast, stay, move = self.fast, [], []
+            fresh = set().union(*fast)
             for x in fast:
-                old, new = self._held(x, self.slow), self._held(x, fast)
+                old, new = self._held(x, self.slow_whole), self._held(x, fresh)
                 (move if old is None or old > self.resonance or (new or 0.0) > self.reinforce else stay).append(x)
             self.slow += move
+            if move:
+                self.slow_whole = (self.slow_whole or set()).union(*move)
             self.fast = stay[max(0, len(stay) - self.capacity) :]
 
     def query(self, item: list[int]) -> float:
-        return max(self._held(item, self.fast) or 0.0, self._held(item, self.slow) or 0.0)
+        return max(self._held(item, set().union(*self.fast) if self.fast else None) or 0.0, self._held(item, self.slow_whole) or 0.0)
 
 
 def consolidate(items: DataFrame, key: str, dim: int, **options) -> DataFrame:
