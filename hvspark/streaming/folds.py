@@ -137,13 +137,25 @@ class TwoStores:
 def consolidate(items: DataFrame, key: str, dim: int, **options) -> DataFrame:
     """(key, fast, slow): how many of a key's items (key, seq, hv) each store holds in the end."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        memory = TwoStores(dim, **options)
-        for hv in pdf.sort_values("seq", kind="stable")["hv"]:
-            memory.add(list(hv))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "fast": [len(memory.fast)], "slow": [len(memory.slow)]})
-
-    return items.groupBy(key).applyInPandas(fold, f"{key} {dict(items.dtypes)[key]}, fast int, slow int")
+    columns = [key, "fast", "slow"]
+
+    def fold(batches):
+        now = memory = None
+        for pdf in batches:
+            rows = []
+            for k, hv in zip(pdf[key], pdf["hv"]):
+                if memory is None or k != now and not (k != k and now != now):
+                    if memory is not None:
+                        rows.append((now, len(memory.fast), len(memory.slow)))
+                    now, memory = k, TwoStores(dim, **options)
+                memory.add(hv.tolist())
+            yield pd.DataFrame(rows, columns=columns)
+        if memory is not None:
+            yield pd.DataFrame([(now, len(memory.fast), len(memory.slow))], columns=columns)
+
+    # in one pass over sorted rows, as a frame for each key costs more than its fold
+    ordered = items.select(key, "seq", "hv").repartition(key).sortWithinPartitions(key, "seq").select(key, "hv")
+    return ordered.mapInPandas(fold, f"{key} {dict(items.dtypes)[key]}, fast int, slow int")
 
 
 def sliding_union(items: DataFrame, key: str, size: int) -> DataFrame:

@@ -173,3 +173,20 @@ def test_embeddings_are_asked_by_every_hundredth(spark):
 
     got = {r.query_id for r in similar_embeddings(spark, "/root/testdata/sf0.01").select("query_id").collect()}
     assert got and all(i % 100 == 0 for i in got)
+
+
+def test_two_stores_fold_in_one_pass(spark):
+    from hvspark.streaming import folds
+
+    rng = random.Random(6)
+    rows = [(i % 4, i, sorted(rng.sample(range(64), 3))) for i in range(80)]
+    want = set()
+    for k in range(4):
+        m = folds.TwoStores(64, every=5)
+        for r in rows:
+            if r[0] == k:
+                m.add(r[2])
+        want.add((k, len(m.fast), len(m.slow)))
+    plan = folds.consolidate(spark.createDataFrame(rows, "k int, seq long, hv array<int>").repartition(3), "k", 64, every=5)
+    assert {tuple(r) for r in plan.collect()} == want
+    assert "MapInPandas" in plan._jdf.queryExecution().optimizedPlan().toString()
