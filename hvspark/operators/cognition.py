@@ -140,9 +140,23 @@ def duplicates(composites: DataFrame, least: float = 0.95) -> DataFrame:
     return grouped.select("pairs").mapInPandas(greedy, f"id {dict(composites.dtypes)['id']}")
 
 
+ROWS = 1_000_000  #: ids that a task compares, about
+
+
+def without(ids: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of ids (id) that others (id) lacks, each as often as it is there.
+
+    An anti join would move below a union, whose parts would each sort all others, all within one
+    task where the parts are small. This is one join, with as many tasks as the counted rows ask for.
+    """
+    n = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), (ids.count() + others.count()) // ROWS + 1)
+    held = others.select("id").repartition(n, "id").distinct().withColumn("_held", F.lit(True))
+    return ids.select("id").repartition(n, "id").join(held.hint("merge"), "id", "left").where("_held is null").select("id")
+
+
 def stale(composites: DataFrame, triples: DataFrame) -> DataFrame:
     """ids of composites without a triple."""
-    return composites.select("id").join(triples.select("id"), "id", "left_anti")
+    return without(composites.select("id"), triples.select("id"))
 
 
 def unreferenced(atoms: DataFrame, triples: DataFrame) -> DataFrame:

@@ -190,3 +190,18 @@ def test_two_stores_fold_in_one_pass(spark):
     plan = folds.consolidate(spark.createDataFrame(rows, "k int, seq long, hv array<int>").repartition(3), "k", 64, every=5)
     assert {tuple(r) for r in plan.collect()} == want
     assert "MapInPandas" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stale_composites_of_a_union_are_joined_once(spark, monkeypatch):
+    from hvspark.operators import cognition as C
+
+    monkeypatch.setattr(C, "ROWS", 50)
+    parts = [spark.range(n, n + 40).select(F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("id")) for n in (0, 30, 60)]
+    composites = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    live = spark.range(0, 400).select((F.col("id") % 50).cast("string").alias("id")).unionByName(spark.createDataFrame([(None,)], "id string"))
+    plan = C.stale(composites, live)
+    ids = [i for n in (0, 30, 60) for i in range(n, n + 40)]
+    want = sorted("" if i % 7 == 0 else str(i) for i in ids if i % 7 == 0 or i >= 50)
+    assert sorted(r.id or "" for r in plan.collect()) == want
+    assert plan.columns == ["id"] and plan.rdd.getNumPartitions() == 11
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
