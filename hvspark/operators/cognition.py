@@ -11,6 +11,7 @@ from hvspark.functions.vectors import active, jaccard
 from hvspark.operators import aggregate as A
 from hvspark.operators.graph import components
 from hvspark.operators.retrieve import cleanup, similar_pairs
+from hvspark.sources.tables import checkpointed, if_few
 
 
 def patterns(triples: DataFrame, least: int = 3) -> DataFrame:
@@ -36,6 +37,15 @@ def co_occurrence(triples: DataFrame, least: int = 2) -> DataFrame:
     return pairs.where((F.col("relations_a") != F.col("relations_b")) | (F.col("n_a") > 1))
 
 
+def lacking(kinds: DataFrame, shared: int, coverage: float) -> DataFrame:
+    """(relations, r, coverage): relations that a kind of subject (relations, n) lacks and that enough of its peers have."""
+    b = kinds.select(F.col("relations").alias("theirs"), F.col("n").alias("m"))
+    peers = kinds.join(b, F.size(F.array_intersect("relations", "theirs")) >= shared).withColumn("m", F.when(F.col("relations") == F.col("theirs"), F.col("m") - 1).otherwise(F.col("m"))).where("m > 0")
+    total = peers.groupBy("relations").agg(F.sum("m").alias("peers"))
+    have = peers.select("relations", "m", F.explode(F.array_except("theirs", "relations")).alias("r")).groupBy("relations", "r").agg(F.sum("m").alias("have"))
+    return have.join(total, "relations").withColumn("coverage", F.col("have") / F.col("peers")).where(F.col("coverage") >= coverage).select("relations", "r", "coverage")
+
+
 def gaps(triples: DataFrame, shared: int = 2, coverage: float = 0.5) -> DataFrame:
     """(s, r, coverage): relations that a subject lacks and that enough of its peers have.
 
@@ -43,12 +53,7 @@ def gaps(triples: DataFrame, shared: int = 2, coverage: float = 0.5) -> DataFram
     """
     who = shapes(triples)
     kinds = who.groupBy("relations").agg(F.count("*").alias("n"))
-    b = kinds.select(F.col("relations").alias("theirs"), F.col("n").alias("m"))
-    peers = kinds.join(b, F.size(F.array_intersect("relations", "theirs")) >= shared).withColumn("m", F.when(F.col("relations") == F.col("theirs"), F.col("m") - 1).otherwise(F.col("m"))).where("m > 0")
-    total = peers.groupBy("relations").agg(F.sum("m").alias("peers"))
-    have = peers.select("relations", "m", F.explode(F.array_except("theirs", "relations")).alias("r")).groupBy("relations", "r").agg(F.sum("m").alias("have"))
-    lacking = have.join(total, "relations").withColumn("coverage", F.col("have") / F.col("peers")).where(F.col("coverage") >= coverage)
-    return who.join(lacking, "relations").select("s", "r", "coverage")
+    return who.join(lacking(kinds, shared, coverage), "relations").select("s", "r", "coverage")
 
 
 def abstractions(triples: DataFrame, atoms: DataFrame, dim: int, least: int = 3) -> DataFrame:
@@ -60,21 +65,27 @@ def abstractions(triples: DataFrame, atoms: DataFrame, dim: int, least: int = 3)
 
 def hypotheses(triples: DataFrame, atoms: DataFrame, dim: int, shared: int = 2, coverage: float = 0.5, least: float = 0.3) -> DataFrame:
     """(s, r, o, confidence): for each gap, what the bundle of the peers' objects comes to rest at; the first object if nothing is in half of them."""
-    missing = gaps(triples, shared, coverage)
-    kinds = shapes(triples)
-    fillers = triples.join(kinds, "s").groupBy("relations", "r", "o").agg(F.count("*").alias("n"))
-    wanted = missing.join(kinds, "s").select("relations", "r").distinct().withColumnRenamed("relations", "mine")
-    pool = wanted.join(fillers, "r").where(F.size(F.array_intersect("mine", "relations")) >= shared).groupBy("mine", "r", "o").agg(F.sum("n").alias("n"))
-    vectors = pool.join(atoms.withColumnRenamed("id", "o"), "o")
+    # subjects are read in full for their relations, for the peers' objects and for the result; what is known by kind is small
+    who = checkpointed(shapes(triples))
+    kinds = checkpointed(who.groupBy("relations").agg(F.count("*").alias("n")))
+    wanted = lacking(kinds, shared, coverage).select(F.col("relations").alias("mine"), "r")
+    have = kinds.select("relations", F.explode("relations").alias("r"))
+    peers = checkpointed(wanted.join(have, "r").where(F.size(F.array_intersect("mine", "relations")) >= shared).select("mine", "r", "relations"))
+    theirs = who.join(if_few(checkpointed(peers.select("relations").distinct())), "relations")
+    asked = triples.join(if_few(checkpointed(peers.select("r").distinct())), "r")
+    fillers = asked.join(theirs, "s").groupBy("relations", "r", "o").agg(F.count("*").alias("n"))
+    pool = checkpointed(fillers.join(if_few(peers), ["relations", "r"]).groupBy("mine", "r", "o").agg(F.sum("n").alias("n")))
+    known = checkpointed(atoms.join(if_few(checkpointed(pool.select(F.col("o").alias("id")).distinct())), "id").select(F.col("id").alias("o"), "hv"))
+    vectors = pool.join(known, "o")
     total = pool.groupBy("mine", "r").agg(F.sum("n").alias("total"), F.min("o").alias("first"))
     counts = vectors.select("mine", "r", "n", F.explode("hv").alias("idx")).groupBy("mine", "r", "idx").agg(F.sum("n").alias("n")).join(total, ["mine", "r"]).where(F.col("n") >= F.ceil(F.col("total") / 2))
     rank = F.row_number().over(W.partitionBy("mine", "r").orderBy(F.desc("n"), "idx"))
     bundled = counts.withColumn("_n", rank).where(F.col("_n") <= active(dim)).groupBy("mine", "r").agg(F.array_sort(F.collect_list("idx")).alias("bundle"))
-    first = total.join(atoms.select(F.col("id").alias("first"), F.col("hv").alias("fallback")), "first")
-    probes = first.join(bundled, ["mine", "r"], "left").select(F.struct("mine", "r").alias("query_id"), F.coalesce("bundle", "fallback").alias("hv"))
+    first = total.join(known.select(F.col("o").alias("first"), F.col("hv").alias("fallback")), "first")
+    probes = checkpointed(first.join(bundled, ["mine", "r"], "left").select(F.struct("mine", "r").alias("query_id"), F.coalesce("bundle", "fallback").alias("hv")))
     best = cleanup(probes, atoms, A.idf(atoms, dim), dim).where(F.col("weight") >= least)
-    found = best.select(F.col("query_id.mine").alias("relations"), F.col("query_id.r").alias("r"), F.col("id").alias("o"), F.col("weight").alias("confidence"))
-    return missing.join(kinds, "s").join(found, ["relations", "r"]).select("s", "r", "o", "confidence")
+    found = checkpointed(best.select(F.col("query_id.mine").alias("relations"), F.col("query_id.r").alias("r"), F.col("id").alias("o"), F.col("weight").alias("confidence")))
+    return who.where("s is not null").join(if_few(found), "relations").select("s", "r", "o", "confidence")
 
 
 def analogies(triples: DataFrame, shared: int = 2) -> DataFrame:

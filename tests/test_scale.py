@@ -205,3 +205,46 @@ def test_stale_composites_of_a_union_are_joined_once(spark, monkeypatch):
     assert sorted(r.id or "" for r in plan.collect()) == want
     assert plan.columns == ["id"] and plan.rdd.getNumPartitions() == 11
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_hypotheses_read_subjects_once(spark, monkeypatch, few):
+    from collections import Counter
+
+    from hvspark.functions import hashing as H
+    from hvspark.operators import aggregate as A
+    from hvspark.operators import cognition as C
+    from hvspark.sources import tables
+
+    monkeypatch.setattr(tables, "FEW", few, raising=False)
+    rng, dim = random.Random(8), 1024
+    facts = [(f"s{i}", r, rng.choice(objects)) for i in range(60) for r, objects in {"a": "xy", "b": "uvw", "c": "pq", "d": "zzzt"}.items() if rng.random() < 0.7]
+    facts += [(None, "a", "x"), (None, "b", "u"), ("s1", "e", None), ("s2", "a", "y")]
+    of = {}
+    for s, r, o in facts:
+        of.setdefault(s, set()).add(r)
+    pools = {}
+    for mine in {frozenset(x) for x in of.values()}:
+        peers = [s for s, x in of.items() if len(x & mine) >= 2]
+        peers = peers[:-1] if len(mine) >= 2 else peers  # a subject is no peer of itself; which one doesn't matter for the counts
+        for r in set().union(*of.values()) - mine:
+            # of the peers one has the relations of mine, and so not r
+            if peers and sum(r in of[s] for s, x in of.items() if len(x & mine) >= 2) / len(peers) >= 0.3:
+                pools[mine, r] = Counter(o for s, q, o in facts if q == r and s is not None and len(of[s] & mine) >= 2)
+    atoms = spark.createDataFrame([(x,) for x in sorted({x for f in facts for x in f if x})], "id string").select("id", H.atom_udf(dim)(F.col("id")).alias("hv")).localCheckpoint()
+    hv = {r.id: r.hv for r in atoms.collect()}
+    probes, names = [], list(pools)
+    for n, key in enumerate(names):
+        pool = pools[key]
+        counts = Counter()
+        for o, m in pool.items():
+            for i in hv.get(o, []):
+                counts[i] += m
+        half = sorted((-c, i) for i, c in counts.items() if c >= -(-sum(pool.values()) // 2))[: V.active(dim)]
+        probes.append((n, sorted(i for _, i in half) or hv[min(filter(None, pool))]))
+    best = R.cleanup(spark.createDataFrame(probes, "query_id int, hv array<int>"), atoms, A.idf(atoms, dim), dim).where("weight >= 0.3").collect()
+    want = {(s, names[b.query_id][1], b.id, round(b.weight, 9)) for b in best for s, x in of.items() if s is not None and x == names[b.query_id][0]}
+    plan = C.hypotheses(spark.createDataFrame(facts, "s string, r string, o string"), atoms, dim, 2, 0.3, 0.3)
+    assert want and {(x.s, x.r, x.o, round(x.confidence, 9)) for x in plan.collect()} == want
+    tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in tree and ("broadcast" in tree) == (few > 0)
